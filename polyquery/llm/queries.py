@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from polyquery.llm import chat
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -60,6 +62,22 @@ def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip(_table(spark, sf_dir, "documents"), tokenizer_path(), 2).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from polyquery.llm import licences
+
+    return licences.query(_table(spark, sf_dir, "documents"))
+
+
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from polyquery.llm import neighbours
+
+    return neighbours.query(_table(spark, sf_dir, "embeddings"))
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.query(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_decontamination": op2_decontamination,
@@ -68,5 +86,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_substrings": op6_substrings,
     "op7_tokens": op7_tokens,
+    "op8_licences": op8_licences,
+    "op9_neighbours": op9_neighbours,
+    "op10_chat": op10_chat,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op10_chat": chat.ORACLE}
