@@ -38,8 +38,10 @@ from pyspark.sql import functions as F
 from polyquery.llm.common import BYTE_A, BYTE_B, PrefixHash, mix64, ship, sliced, text_bytes, texts, utf8, word_spans
 
 #: Bytes of text in a document group, and in what a group of prefixes or of suffixes comes from.
-GROUP_TEXT = 8 << 20
-TREE_TEXT = 24 << 20
+GROUP_TEXT = 4 << 20
+TREE_TEXT = 16 << 20
+#: Bytes of text that are hashed in one go; the tables that this takes are many times as large.
+HASH_TEXT = 1 << 20
 LONG_PREFIX = 4096
 LAST = np.iinfo(np.int64).max  # stands for a null doc_id: behind all others
 
@@ -162,7 +164,7 @@ def _prefixes(docs: DataFrame, groups: int, trees: int, window: int, prefix: int
     """(t, known, hash, g): by tree group, prefixes and the document groups they are in; known: repeated already in this batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 4 << 20):
+        for batch in sliced(batches, HASH_TEXT):
             g_of = _group_of(_ids(batch.column("doc_id")), groups)
             w = Windows(*utf8(batch.column("text")), window, prefix)
             at = np.flatnonzero(w.is_prefix)
@@ -233,15 +235,28 @@ def _suffixes(trees: int, window: int, prefix: int):
         order = np.argsort(asked)
         asked, long = asked[order], long[order]
         ids, text, _ = _unpack(left)
-        w = Windows(*utf8(text), window, prefix)
-        found = np.minimum(np.searchsorted(asked, w.prefix), len(asked) - 1)
-        at = np.flatnonzero(w.valid & (asked[found] == w.prefix)) if w.n else np.zeros(0, np.int64)
-        head, is_long = w.prefix[at], long[found[at]]
-        full = w.full(at) if len(at) else np.zeros(0, np.uint64)
-        owner = w.owner[at]
+        heads, longs, fulls, owners, places, counts = [], [], [], [], [], []
+        base = 0
+        for part in sliced(iter([pa.RecordBatch.from_arrays([text], ["text"])]), HASH_TEXT):
+            w = Windows(*utf8(part.column("text")), window, prefix)
+            counts.append(w.count)
+            if w.n:
+                found = np.minimum(np.searchsorted(asked, w.prefix), len(asked) - 1)
+                at = np.flatnonzero(w.valid & (asked[found] == w.prefix))
+                if len(at):
+                    heads.append(w.prefix[at])
+                    longs.append(long[found[at]])
+                    fulls.append(w.full(at))
+                    owners.append(base + w.owner[at])
+                    places.append(at - w.begin[w.owner[at]])
+            base += part.num_rows
+            del w
+        if not heads:
+            return pa.Table.from_batches([_rows([], *fields)])
+        head, is_long, full, owner = (np.concatenate(x) for x in (heads, longs, fulls, owners))
         doc = ids[owner]
-        pos = at - w.begin[owner] + _offsets(ids, w.count)[owner]
-        del w
+        pos = np.concatenate(places) + _offsets(ids, np.concatenate(counts))[owner]
+        at = np.arange(len(doc))
         # repeats inside this group: rows are in (doc_id, place) order already, so the first of a class is its earliest
         order = np.lexsort((np.arange(len(at)), full, head))
         same = np.zeros(len(at), bool)
