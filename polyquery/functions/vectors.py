@@ -23,7 +23,7 @@ def define(c: FunctionCatalog) -> None:
     c.add("VEC_DISTANCE VEC_DISTANCE_EUCLIDEAN", "sqrt(aggregate(zip_with({0}, {1}, (x, y) -> (cast(x as double) - y) * (cast(x as double) - y)), 0D, (s, v) -> s + v))")
     c.add("VEC_DISTANCE_COSINE", "(1 - " + _DOT + " / (" + _NORM + " * " + _NORM.replace("{0}", "{1}") + "))")
     c.add("STRING_TO_ARRAY", "split({0}, concat('\\\\Q', {1}, '\\\\E'))")
-    c.add("ARRAY_TO_STRING", "array_join({0}, {1}, {2:null})")
+    c.add("ARRAY_TO_STRING", lambda a, r: f"array_join({', '.join(a)})")
     c.add("ARRAY_DIMS", "concat('[1:', size({0}), ']')")
     c.add("ARRAY_LOWER ARRAY_NDIMS", "case when size({0}) > 0 then 1 end")
     c.add("ARRAY_UPPER ARRAY_LENGTH", "nullif(size({0}), 0)")
