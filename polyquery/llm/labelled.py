@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Labelled documents that a fit uses at most (about), and the characters of them.
 FIT_DOCUMENTS = 3000
-FIT_CHARACTERS = 24_000_000
+FIT_CHARACTERS = 10_000_000
 
 
 def held_out(folds: int, fold: int, doc_id: str = "doc_id"):

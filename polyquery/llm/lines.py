@@ -5,8 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 
-from polyquery.llm.common import BYTE_A, PrefixHash, mix64, word_spans
+from polyquery.llm.common import BYTE_A, PrefixHash, mix64, sliced, utf8, word_spans
 
 #: Marks that prose seldom has in numbers.
 _MARK = np.zeros(256, bool)
@@ -99,3 +100,15 @@ def observe(raw: np.ndarray, at: np.ndarray) -> Lines:
     full = count > 0
     line_owner = np.searchsorted(at, begins, side="right") - 1
     return Lines(line_owner[full], size[full], {k: v[full] for k, v in obs.items()}, words, starts, ends, owner, codes, sums)
+
+
+def observe_all(texts: list[str], limit: int = 1 << 20) -> Lines:
+    """The lines of many texts, hashed ``limit`` bytes at a time; words are counted and not kept."""
+    parts, base = [], 0
+    for batch in sliced(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["text"])]), limit):
+        part = observe(*utf8(batch.column("text")))
+        parts.append((part.owner + base, part.weight, part.obs, part.words))
+        base += batch.num_rows
+    none = np.zeros(0, np.uint64)
+    owner, weight, words = (np.concatenate([p[k] for p in parts]) for k in (0, 1, 3))
+    return Lines(owner, weight, {k: np.concatenate([p[2][k] for p in parts]) for k in SIZES}, words, none, none, none, none, none)

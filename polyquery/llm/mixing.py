@@ -15,7 +15,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,13 +29,19 @@ from polyquery.llm.lines import SIZES, Lines, hashed, observe
 
 DOMAINS = ("good", "poor", "toxic")
 #: Labelled documents of each domain that the fit uses at most (about).
-FIT_EACH = 1000
+FIT_EACH = 700
+#: Bytes of text that the fit looks at in one go.
+FIT_SLICE = 1 << 20
 STEMS = (4, 5, 6)
 LEAST_DOCUMENTS = 4
 PRIOR = 2.0
 ODDS = 3.0
-STEPS = 60
+STEPS = 40
 TOLERANCE = 1e-9
+#: A step that moves no total by this share ends the fit: targets that can't be met.
+STALL = 1e-7
+#: Of the metric's mean, added to it: a domain with hardly any tokens can't throw the others' rates about.
+DAMPING = 1e-3
 
 
 @dataclass
@@ -98,27 +103,36 @@ def fit(rows: list[tuple[str, int]], domains: int) -> Model:
     y = np.array([d for _, d in rows], dtype=np.int64)
     if not len(y):
         return Model(np.zeros((2 + 12 + 2 * domains, domains)), [np.zeros(0, np.uint64)] * domains)
-    raw, at = utf8(pa.array([t for t, _ in rows], pa.large_string()))
-    lines, stems = look(raw, at)
-    counts = [Counter() for _ in range(domains)]
-    for codes, owner in stems:
-        pairs = np.unique(np.stack([codes, owner.astype(np.uint64)]), axis=1)
-        kind = y[pairs[1].astype(np.int64)]
-        for d in range(domains):
-            values, n = np.unique(pairs[0][kind == d], return_counts=True)
-            counts[d].update(dict(zip(values.tolist(), n.tolist())))
+    texts_ = pa.RecordBatch.from_arrays([pa.array([t for t, _ in rows], pa.large_string())], ["text"])
+    found: list[list[np.ndarray]] = [[] for _ in range(domains)]
+    base = 0
+    for batch in sliced(iter([texts_]), FIT_SLICE):
+        _, stems = look(*utf8(batch.column("text")))
+        for codes, owner in stems:
+            kind = y[base + owner]
+            for d in range(domains):
+                pick = kind == d
+                pairs = np.unique(np.stack([codes[pick], owner[pick].astype(np.uint64)]), axis=1)
+                found[d].append(pairs[0])
+        base += batch.num_rows
+    counts = [np.unique(np.concatenate(f), return_counts=True) for f in found]
+    del found
     size = np.bincount(y, minlength=domains)
     words = []
     for d in range(domains):
-        out = []
+        code, n = counts[d]
+        often = n >= LEAST_DOCUMENTS
+        code, n = code[often], n[often]
+        other = np.zeros(len(code))
+        for k in range(domains):
+            if k != d and len(counts[k][0]):
+                at = np.minimum(np.searchsorted(counts[k][0], code), len(counts[k][0]) - 1)
+                other += np.where(counts[k][0][at] == code, counts[k][1][at], 0)
         rest = len(y) - size[d]
-        for h, n in counts[d].items():
-            if n >= LEAST_DOCUMENTS and rest:
-                other = sum(counts[k].get(h, 0) for k in range(domains) if k != d)
-                if np.log(n / size[d]) - np.log((other + PRIOR) / (rest + PRIOR)) >= ODDS:
-                    out.append(h)
-        words.append(np.sort(np.array(out, dtype=np.uint64)))
-    x = features(lines, stems, words)
+        odds = np.log(np.maximum(n, 1) / max(1, size[d])) - np.log((other + PRIOR) / (rest + PRIOR))
+        words.append(np.sort(code[odds >= ODDS]) if rest else code[:0])
+    del counts
+    x = np.concatenate([features(*look(*utf8(b.column("text"))), words) for b in sliced(iter([texts_]), FIT_SLICE)])
     w = np.zeros((x.shape[1], domains))
     onehot = np.eye(domains)[y]
     m1, m2 = np.zeros_like(w), np.zeros_like(w)
@@ -195,7 +209,7 @@ def rates(table: DataFrame, targets: dict[str, float], total: float | None = Non
     if not start or not want.sum():
         return steps, dict.fromkeys(names, 0.0)
     goal = want / want.sum() * (start if total is None else total) / start
-    reached = np.zeros(k)
+    reached = last = np.zeros(k)
     for _ in range(most):
         r = rate_column(steps, names)
         w = F.col("n_tokens") / F.lit(float(start))
@@ -205,11 +219,12 @@ def rates(table: DataFrame, targets: dict[str, float], total: float | None = Non
         ).first()
         reached = np.array([row[f"a{i}"] for i in range(k)])
         gap = reached - goal
-        if np.abs(gap).max() < TOLERANCE:
+        if np.abs(gap).max() < TOLERANCE or len(steps) > 2 and np.abs(reached - last).max() < STALL:
             break
+        last = reached
         gram = np.array([[row[f"g{i}_{j}"] or 0.0 for j in range(k)] for i in range(k)])
-        u = np.linalg.solve(gram + 1e-9 * np.eye(k), gap)
-        if not np.isfinite(u).all() or len(steps) > 1 and np.abs(u).max() < 1e-9:
+        u = np.linalg.solve(gram + DAMPING * max(np.trace(gram) / k, 1e-9) * np.eye(k), gap)
+        if not np.isfinite(u).all():
             break
         steps.append(u)
     return steps, {n: float(x * start) for n, x in zip(names, reached)}
@@ -233,22 +248,23 @@ def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return mix(docs, labels, TARGETS)
 
 
-#: Pipeline: shares of poor and toxic text in what stays, and how much more good text than there is the targets ask for.
-STAGE = {"good": 0.97, "poor": 0.029, "toxic": 0.001}
-HEADROOM = 1.25
+#: Pipeline: tokens wanted of each domain, as a multiple of what there is.
+STAGE = {"good": 1.25, "poor": 0.5, "toxic": 0.5}
 
 
 def keep_mixed(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs``, each at most once, a row of rate under 1 with that probability.
 
-    The wanted total is set so that good text has a rate a little over 1: good
-    documents stay, poor and toxic ones are thinned to their targets.
+    The target weights are STAGE times the domains' expected tokens. Good text is
+    asked for beyond what there is, so documents that are mostly good have a rate
+    over 1 and stay; poor and toxic ones are thinned by half.
     """
     model = learn(docs, domain_of(labels), len(DOMAINS))
     ship(docs.sparkSession)
     table = materialise(posteriors(docs, model), "mixing")
-    good = table.agg(F.sum(F.col("n_tokens") * F.col("p_good")).alias("n")).first()["n"] or 0.0
-    steps, _ = rates(table, STAGE, HEADROOM * good / STAGE["good"])
+    there = table.agg(*(F.coalesce(F.sum(F.col("n_tokens") * F.col(f"p_{n}")), F.lit(0.0)).alias(n) for n in DOMAINS)).first()
+    wanted = {n: STAGE[n] * there[n] for n in DOMAINS}
+    steps, _ = rates(table, wanted, sum(wanted.values()))
     names, schema = docs.columns, docs.schema
     where = [n.lower() for n in names].index("text")
     key = [n.lower() for n in names].index("doc_id")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from polyquery.llm.common import ship, sliced, texts, utf8
 from polyquery.llm.crf import Crf, logistic, probability, shifted
 from polyquery.llm.labelled import FIT_DOCUMENTS, held_out, sample
-from polyquery.llm.lines import CODES, SIZES, Lines, observe
+from polyquery.llm.lines import CODES, SIZES, Lines, observe, observe_all
 
 ODDS = 6
 #: Odds class from which a line of a bad document is a labelled bad line.
@@ -65,8 +65,7 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 1.0
         return Model(np.zeros(CODES, np.int64), Crf(sizes), np.array([0.0, 0.0, math.log((share + 1e-3) / (1 - share + 1e-3))]))
-    raw, at = utf8(pa.array([t for t, _ in rows], pa.large_string()))
-    lines = observe(raw, at)
+    lines = observe_all([t for t, _ in rows])
     bad_doc = (y == 0)[lines.owner]
     # in how many bad and good documents a code stands
     pairs = np.unique(np.column_stack([lines.owner, lines.code]), axis=0)

@@ -208,7 +208,8 @@ def _deal(max_bits: int):
                 bits = [i for i in range(64) if int(mask) >> i & 1]
                 for k, run_bits in enumerate(np.array_split(np.array(bits, dtype=np.uint64), max_bits + 1)):
                     part = np.uint64(sum(1 << int(i) for i in run_bits))
-                    child = mix64(key[rows] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k + 1)) ^ mix64((fp[rows] & part) + np.uint64(0xD1B54A32D192ED03) * np.uint64(k + 1))
+                    salt = np.uint64((k + 1) * 0xD1B54A32D192ED03 & (1 << 64) - 1)
+                    child = mix64(key[rows] + salt) ^ mix64((fp[rows] & part) ^ salt)
                     yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (child, fp[rows], np.full(len(rows), mask & ~part, np.uint64))], ["key", "fp", "free"])
 
     return run

@@ -78,27 +78,29 @@ class Lookup(dict):
         return value
 
 
+def _terms(text: str) -> tuple[set[str], set[str]]:
+    """The words of a text and the beginnings of the longer ones."""
+    words = {w.strip(STRIP) for w in text.lower().split()} - {""}
+    return words, {w[:n] for w in words for n in PREFIXES if len(w) >= n}
+
+
 def lexicon(rows: list[tuple[str, int]]) -> Lexicon:
-    """Classes from in how many toxic and other documents a word or beginning stands."""
-    seen = (Counter(), Counter())
-    begun = (Counter(), Counter())
-    total = [0, 0]
-    for text, y in rows:
-        words = {w.strip(STRIP) for w in text.lower().split()} - {""}
-        seen[y].update(words)
-        begun[y].update({w[:n] for w in words for n in PREFIXES if len(w) >= n})
-        total[y] += 1
-
-    def odds(counts: tuple[Counter, Counter]) -> dict[str, int]:
-        out = {}
-        for w, t in counts[1].items():
-            if t >= LEAST_DOCUMENTS:
-                c = _class(math.log(t / total[1]) - math.log((counts[0][w] + PRIOR) / (total[0] + PRIOR)))
-                if c:
-                    out[w] = c
-        return out
-
-    return Lexicon(odds(seen), odds(begun))
+    """Classes from in how many toxic and other documents a word or beginning stands; only what toxic documents share is held."""
+    total = [sum(1 for _, y in rows if y == k) for k in (0, 1)]
+    out = []
+    for kind in (0, 1):
+        toxic: Counter[str] = Counter()
+        for text, y in rows:
+            if y:
+                toxic.update(_terms(text)[kind])
+        toxic = Counter({w: n for w, n in toxic.items() if n >= LEAST_DOCUMENTS})
+        clean: Counter[str] = Counter()
+        for text, y in rows:
+            if not y:
+                clean.update(_terms(text)[kind] & toxic.keys())
+        odds = {w: _class(math.log(t / total[1]) - math.log((clean[w] + PRIOR) / (total[0] + PRIOR))) for w, t in toxic.items()}
+        out.append({w: c for w, c in odds.items() if c})
+    return Lexicon(*out)
 
 
 @dataclass
@@ -146,16 +148,20 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     ys = np.array([y for _, y in rows], dtype=float)
     lex = lexicon(rows)
     look = Lookup(lex)
-    words = [t.lower().split() for t, _ in rows]
     model = Model(lex, Crf((CLASSES, CLASSES + 1, CLASSES + 1)), np.zeros(3))
-    at = np.concatenate(([0], np.cumsum([len(w) for w in words]))).astype(np.int64)
-    own = np.fromiter((c for w in words for c in map(look.__getitem__, w)), dtype=np.int16, count=int(at[-1]))
+    parts = [np.fromiter(map(look.__getitem__, t.lower().split()), dtype=np.int16) for t, _ in rows]
+    at = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64)
+    own = np.concatenate(parts)
+    del parts, look
     toxic = np.repeat(ys > 0, np.diff(at))
     gold = ((own >= GOLD) & toxic).astype(np.int64)
     n = max(1, int(np.searchsorted(at, FIT_WORDS, side="right")) - 1)
     model.crf.fit(*observations(own[: at[n]], at[: n + 1]), gold[: at[n]], steps=25)
-    p = model.crf.marginals(*observations(own, at))
-    model.curve = logistic(summary(p, at), ys)
+    seen = []
+    for a in range(0, len(rows), 200):  # a few documents at a time
+        cut = at[a : a + 201]
+        seen.append(summary(model.crf.marginals(*observations(own[cut[0] : cut[-1]], cut - cut[0])), cut - cut[0]))
+    model.curve = logistic(np.concatenate(seen), ys)
     return model
 
 

@@ -40,7 +40,7 @@ def test_word_spans(texts):
     assert got == [(i, w) for i, t in enumerate(texts) for w in (t or "").encode().split()]
 
 
-def corpus(n=900, seed=2):
+def corpus(n=700, seed=2):
     rng = random.Random(seed)
     words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 7))) for _ in range(500)]
     docs, labels = [], []
