@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from polyquery.llm import chat
+from polyquery.llm import chat, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,8 +51,6 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from polyquery.llm import substrings
-
     return substrings.query(_table(spark, sf_dir, "documents"))
 
 
@@ -90,4 +88,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_neighbours": op9_neighbours,
     "op10_chat": op10_chat,
 }
-ORACLE: dict[str, str] = {"op10_chat": chat.ORACLE}
+ORACLE: dict[str, str] = {"op6_substrings": substrings.ORACLE, "op10_chat": chat.ORACLE}

@@ -370,3 +370,25 @@ def dedup(docs: DataFrame, window: int = 20, prefix: int = 8, with_text: bool =
 def query(docs: DataFrame) -> DataFrame:
     """The op6 contract: windows of 20 words."""
     return dedup(docs)
+
+
+#: The contract in the SQL of an independent engine, by comparing whole windows.
+ORACLE = r"""
+with docs as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents
+), places as (
+  select doc_id, words, unnest(generate_series(1, len(words)::bigint)) as i from docs
+), windows as (
+  select doc_id, i, case when i + 19 <= len(words) then row_number() over (
+    partition by case when i + 19 <= len(words) then array_to_string(words[i:i + 19], ' ') else doc_id || ' ' || i end, i + 19 <= len(words)
+    order by doc_id, i) end as nth, words[i] as word
+  from places
+), covered as (
+  select doc_id, i, word, coalesce(max(nth) over (partition by doc_id order by i rows between 19 preceding and current row), 1) > 1 as gone from windows
+), kept as (
+  select doc_id, count(*) as n_words, count(*) filter (where gone) as n_removed, coalesce(string_agg(word, ' ' order by i) filter (where not gone), '') as body
+  from covered group by doc_id
+)
+select docs.doc_id, coalesce(n_words, 0)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(body, '')) as kept_sha256
+from docs left join kept on docs.doc_id = kept.doc_id
+"""
