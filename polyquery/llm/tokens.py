@@ -45,7 +45,7 @@ ODD = ("  ", "\n\n", " \n", "\n ", *(chr(c) for c in (9, 11, 12, 13, 28, 29, 30,
 ODD_WIDE = tuple(chr(c) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 #: Marks that end a word in one part of their own.
 MARKS = ".,!?;:|*&%$#"
-KEPT_WORDS = 800_000
+KEPT_WORDS = 500_000
 
 
 def byte_letters() -> list[str]:
