@@ -28,7 +28,7 @@ from polyquery.llm.common import materialise, ship
 DIMENSIONS = 8
 CURVES = 16
 #: Share of a curve, in all, that a query's window covers, and the rows it covers at least.
-SHARE = 0.13
+SHARE = 0.09
 LEAST_ROWS = 400
 CELL_ROWS = 1 << 14
 #: Vectors that the quantiles are fitted on, at most (about).
