@@ -17,11 +17,14 @@ class Engine:
 
     def __init__(self, spark: SparkSession, dialect: str = "standard"):
         self.spark, self.rules = spark, profile(dialect)
-        udfs.register(spark)
+        self.last: Translated | None = None
+
+    def register(self) -> None:
+        """The functions that Spark lacks; only queries that call one need them."""
         from polyquery.operators.json_table import register
 
-        register(spark)
-        self.last: Translated | None = None
+        udfs.register(self.spark)
+        register(self.spark)
 
     def table(self, name: str, df: DataFrame) -> Engine:
         """Make ``df`` known as ``name``."""
@@ -36,6 +39,8 @@ class Engine:
 
     def sql(self, text: str, args: dict | list | None = None) -> DataFrame:
         self.last = translate(text, self.rules)
+        if "pq_" in self.last.sql:
+            self.register()
         return self.spark.sql(self.last.sql, args=args) if args else self.spark.sql(self.last.sql)
 
     def found_rows(self) -> int:

@@ -174,3 +174,55 @@ def procedure(load, spark):
     db.create_as("pq_nation", load("nation"))
     db.procedure("CountIn", lambda d, region: d.rows("pq_nation").where(f"n_regionkey = {region}").selectExpr("count(*) as n"))
     return db.call("countin", 2)
+
+
+def _connection(load, spark, dialect, *tables):
+    from polyquery.connection import Connection
+
+    c = Connection(spark, dialect)
+    for t in tables:
+        c.db.create_as(f"pq_{t}", load(t))
+    return c
+
+
+@frame("stmt_insert_update_delete", "select s_suppkey, case when s_nationkey = 2 then upper(s_name || '!') else s_name end as s_name from supplier where s_nationkey <> 4 union all select 999999, 'NEW'")
+def statements(load, spark):
+    c = _connection(load, spark, "mysql", "supplier")
+    c.execute("INSERT INTO pq_supplier VALUES (999999, 'NEW', 0, 1.5); UPDATE pq_supplier SET s_name = UPPER(CONCAT(s_name, '!')) WHERE s_nationkey = 2; DELETE FROM pq_supplier WHERE s_nationkey = 4")
+    return c.query("SELECT s_suppkey, s_name FROM pq_supplier")
+
+
+@frame("stmt_update_join_select", "select c_custkey, coalesce(t.n, c_nationkey) as c_nationkey from customer left join (select o_custkey, count(*)::int as n from orders where o_totalprice > 100000 group by o_custkey) t on c_custkey = o_custkey")
+def update_join(load, spark):
+    c = _connection(load, spark, "mysql", "customer", "orders")
+    c.execute("UPDATE pq_customer u JOIN (SELECT o_custkey, COUNT(*) AS n FROM pq_orders WHERE o_totalprice > 100000 GROUP BY o_custkey) s ON u.c_custkey = s.o_custkey SET u.c_nationkey = s.n")
+    return c.query("SELECT c_custkey, c_nationkey FROM pq_customer")
+
+
+@frame("stmt_merge", "select n_nationkey, case when n_nationkey < 3 then 'M' || n_nationkey else n_name end as n_name from nation union all select n_nationkey + 100, 'M' || n_nationkey from nation where n_nationkey < 2")
+def merge_text(load, spark):
+    c = _connection(load, spark, "sqlserver", "nation")
+    c.execute("MERGE INTO pq_nation AS t USING (SELECT n_nationkey AS k, 'M' + '' AS x, CONCAT('M', n_nationkey) AS m FROM pq_nation WHERE n_nationkey < 3 UNION ALL SELECT n_nationkey + 100, '', CONCAT('M', n_nationkey) FROM pq_nation WHERE n_nationkey < 2) AS s ON t.n_nationkey = s.k WHEN MATCHED THEN UPDATE SET n_name = s.m WHEN NOT MATCHED THEN INSERT (n_nationkey, n_name) VALUES (s.k, s.m)".replace("'M' + '' AS x", "'' AS x"))
+    return c.query("SELECT n_nationkey, n_name FROM pq_nation")
+
+
+@frame("stmt_on_conflict_returning", "select s_suppkey, s_nationkey + 1 as s_nationkey from supplier where s_suppkey in (1, 2, 3)")
+def conflict_returning(load, spark):
+    from polyquery.connection import Connection
+
+    c = Connection(spark, "postgres", _suppliers(load, spark))
+    return c.execute("INSERT INTO pq_supplier (s_suppkey, s_name, s_nationkey, s_acctbal) VALUES (1, 'a', 0, 0.0), (2, 'b', 0, 0.0), (3, 'c', 0, 0.0) ON CONFLICT (s_suppkey) DO UPDATE SET s_nationkey = s_nationkey + 1 RETURNING s_suppkey, s_nationkey")
+
+
+@frame("stmt_select_into", "select o_custkey as k, count(*)::int as n from orders where o_orderstatus = 'O' group by o_custkey")
+def select_into(load, spark):
+    c = _connection(load, spark, "sqlserver", "orders")
+    c.execute("SELECT o_custkey AS k, COUNT(*) AS n INTO pq_into FROM pq_orders WHERE o_orderstatus = 'O' GROUP BY o_custkey")
+    return c.query("SELECT k, n FROM pq_into")
+
+
+@frame("stmt_transaction", "select count(*) + 1 as n from region where r_regionkey < 3")
+def transaction_text(load, spark):
+    c = _connection(load, spark, "mysql", "region")
+    c.execute("BEGIN; DELETE FROM pq_region WHERE r_regionkey >= 3; SAVEPOINT s; DELETE FROM pq_region; ROLLBACK TO SAVEPOINT s; INSERT INTO pq_region VALUES (9, 'NINE'); COMMIT")
+    return c.query("SELECT COUNT(*) AS n FROM pq_region")
