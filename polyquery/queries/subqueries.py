@@ -20,3 +20,7 @@ sql("sub_in_having", "select o_custkey, count(*) as n from orders group by o_cus
 sql("lateral_join", "select n_name, t.c_custkey from nation, lateral (select c_custkey, c_acctbal from customer where c_nationkey = n_nationkey order by c_acctbal desc, c_custkey limit 2) t")
 sql("cross_apply", "select n.n_name, t.s from nation n cross apply (select sum(c.c_custkey) as s from customer c where c.c_nationkey = n.n_nationkey) t", "select n_name, t.s::bigint as s from nation, lateral (select sum(c_custkey) as s from customer where c_nationkey = n_nationkey) t", "sqlserver")
 sql("outer_apply", "select n.n_name, t.s_suppkey from nation n outer apply (select top 1 s.s_suppkey, s.s_acctbal from supplier s where s.s_nationkey = n.n_nationkey and s.s_acctbal > 8000 order by s.s_acctbal desc) t", "select n_name, t.s_suppkey from nation left join lateral (select s_suppkey from supplier where s_nationkey = n_nationkey and s_acctbal > 8000 order by s_acctbal desc limit 1) t on true", "sqlserver")
+sql("sub_equal_any", "select n_name from nation where n_nationkey = any (select s_nationkey from supplier where s_acctbal > 8000)", "select n_name from nation where n_nationkey in (select s_nationkey from supplier where s_acctbal > 8000)", "postgres")
+sql("sub_unequal_all", "select n_name from nation where n_nationkey <> all (select s_nationkey from supplier where s_acctbal > 8000)", "select n_name from nation where n_nationkey not in (select s_nationkey from supplier where s_acctbal > 8000)", "postgres")
+sql("sub_all_null", "select count(*) as n from nation where n_nationkey > all (select nullif(s_suppkey, 1) - 100000 from supplier)", "select 0::bigint as n", "postgres")
+sql("sub_less_any", "select c_custkey from customer where c_acctbal < any (select s_acctbal from supplier where s_nationkey = 9)", "select c_custkey from customer where c_acctbal < (select max(s_acctbal) from supplier where s_nationkey = 9)", "postgres")
