@@ -21,3 +21,4 @@ sql("win_over_group", "select o_orderstatus, count(*) as n, rank() over (order b
 sql("win_named", "select n_nationkey, row_number() over w as a, count(*) over w as b from nation window w as (partition by n_regionkey order by n_name)")
 sql("win_stat_aggregates", "select c_custkey, round(stddev_pop(c_acctbal) over (partition by c_nationkey), 4) as s, round(var_samp(c_acctbal) over (partition by c_mktsegment), 2) as v from customer")
 sql("win_ignore_nulls", "select n_nationkey, last_value(x) ignore nulls over (order by n_nationkey) as l from (select n_nationkey, case when n_nationkey % 3 = 0 then n_nationkey end as x from nation) t", "select n_nationkey, last_value(x ignore nulls) over (order by n_nationkey) as l from (select n_nationkey, case when n_nationkey % 3 = 0 then n_nationkey end as x from nation) t")
+sql("win_groups_frame", "select n_nationkey, count(*) over (order by n_regionkey groups between 1 preceding and current row) as n, count(*) over (partition by n_regionkey order by n_name groups 2 preceding) as m from nation where n_nationkey > 2")

@@ -100,3 +100,11 @@ def test_functions_and_procedures(c):
     with pytest.raises(Unsupported):
         c.execute("GRANT ALL")
     assert "Plan" in c.execute("EXPLAIN SELECT id FROM users")
+
+
+def test_partition_selection(c):
+    c.db.tables["orders"].partitions = {"small": "amount < 20", "big": "amount >= 20"}
+    assert got(c, "SELECT id FROM orders PARTITION (small)") == [(12,)]
+    assert got(c, "SELECT o.id FROM orders PARTITION (small, big) o WHERE o.amount > 55") == [(11,)]
+    with pytest.raises(Unsupported):
+        c.execute("SELECT id FROM users PARTITION (p0)")
