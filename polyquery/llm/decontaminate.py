@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polyquery.llm.common import SPACES, PrefixHash, ship, sliced, utf8
+from polyquery.llm.common import SPACES, PrefixHash, ship, sliced, trimmed, utf8
 from polyquery.llm.lines import LOWER
 
 Q = 12
@@ -230,7 +230,7 @@ def find(docs: DataFrame, benchmark: DataFrame, q: int = Q, budget: float = BUDG
                 columns = list(zip(*((ids[d], held.value.items[i], e, a, b) for d, i, e, a, b in rows))) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))], ["doc_id", "item_id", "edits", "start", "end"])
 
-        part = source.mapInArrow(run, schema)
+        part = source.mapInArrow(trimmed(run), schema)
         out = part if out is None else out.unionAll(part)
     return out if out is not None else spark.createDataFrame([], schema)
 
@@ -255,5 +255,5 @@ def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, budge
                 keep[sorted({d for d, *_ in _matches(held.value, *utf8(batch.column(where)))})] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, schema)
+        docs = docs.mapInArrow(trimmed(run), schema)
     return docs

@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from polyquery.llm.common import ship, sliced, texts
+from polyquery.llm.common import ship, sliced, texts, trimmed
 
 #: Known sentences, normalised, as patterns for the whole sentence (fixed values from the public licence texts).
 SENTENCES = {
@@ -178,7 +178,7 @@ def scan(docs: DataFrame) -> DataFrame:
             columns = list(zip(*out)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int64())))], ["doc_id", "licences", "sentence_ids", "n_known", "first_char"])
 
-    return texts(docs).mapInArrow(run, SCHEMA)
+    return texts(docs).mapInArrow(trimmed(run), SCHEMA)
 
 
 def query(docs: DataFrame) -> DataFrame:

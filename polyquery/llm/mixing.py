@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polyquery.llm.common import materialise, mix64, ship, sliced, texts, utf8
+from polyquery.llm.common import materialise, mix64, ship, sliced, texts, trimmed, utf8
 from polyquery.llm.labelled import FIT_CHARACTERS
 from polyquery.llm.lines import SIZES, Lines, hashed, observe
 
@@ -181,7 +181,7 @@ def posteriors(docs: DataFrame, model: Model, names: tuple[str, ...] = DOMAINS)
             p = model.posteriors(lines, stems)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lines.words), *(pa.array(p[:, k]) for k in range(len(names)))], ["doc_id", "n_tokens", *(f"p_{n}" for n in names)])
 
-    return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, " + ", ".join(f"p_{n} double" for n in names))
+    return texts(docs).mapInArrow(trimmed(run), "doc_id long, n_tokens long, " + ", ".join(f"p_{n} double" for n in names))
 
 
 def rate_column(steps: list[np.ndarray], names: tuple[str, ...] = DOMAINS):
@@ -280,5 +280,5 @@ def keep_mixed(docs: DataFrame, labels: DataFrame) -> DataFrame:
             chance = (mix64(ids.view(np.uint64) ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(34)).astype(float) / (1 << 30)
             yield batch.filter(pa.array((lines.words == 0) | (chance < r)))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 

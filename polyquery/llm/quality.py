@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polyquery.llm.common import ship, sliced, texts, utf8
+from polyquery.llm.common import ship, sliced, texts, trimmed, utf8
 from polyquery.llm.crf import Crf, logistic, probability, shifted
 from polyquery.llm.labelled import FIT_DOCUMENTS, held_out, sample
 from polyquery.llm.lines import CODES, SIZES, Lines, observe, observe_all
@@ -99,7 +99,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 ["doc_id", "score", "n_lines", "bad_lines"],
             )
 
-    return texts(docs).mapInArrow(run, "doc_id long, score double, n_lines long, bad_lines long")
+    return texts(docs).mapInArrow(trimmed(run), "doc_id long, score double, n_lines long, bad_lines long")
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polyquery.llm.common import materialise, mix64, ship, texts
+from polyquery.llm.common import materialise, mix64, ship, texts, trimmed
 from polyquery.llm.components import components
 
 FAN = 8
@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame
                 out[i] = seen[t]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out.view(np.int64))], ["doc_id", "fp"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, fp long")
+    return texts(docs).mapInArrow(trimmed(run), "doc_id long, fp long")
 
 
 def gray_rank(fps: np.ndarray) -> np.ndarray:

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from polyquery.llm.common import ship, text_bytes, texts, work_dir
+from polyquery.llm.common import ship, text_bytes, texts, trimmed, work_dir
 
 SEQUENCE = 2048
 #: Text that one shard covers, and ids after which a writer starts the shard's next file.
@@ -45,7 +45,7 @@ ODD = ("  ", "\n\n", " \n", "\n ", *(chr(c) for c in (9, 11, 12, 13, 28, 29, 30,
 ODD_WIDE = tuple(chr(c) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 #: Marks that end a word in one part of their own.
 MARKS = ".,!?;:|*&%$#"
-KEPT_WORDS = 500_000
+KEPT_WORDS = 400_000
 
 
 def byte_letters() -> list[str]:
@@ -162,7 +162,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             out = [press.compress(enc.encode(t.as_py()) + end) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "blob"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, blob binary")
+    return texts(docs).mapInArrow(trimmed(run), "doc_id long, blob binary")
 
 
 def id_type(tokenizer: str) -> str:
@@ -241,7 +241,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, length: int =
         if ids:
             yield flush()
 
-    files = ordered.select("shard", "doc_id", "blob").mapInArrow(run, "value binary")
+    files = ordered.select("shard", "doc_id", "blob").mapInArrow(trimmed(run), "value binary")
     files.select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("compression", "none").text(path)
 
 
@@ -278,7 +278,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 n = len(ends)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, int(meta["shard"]), np.int32)), pa.array(np.full(n, int(meta["part"]), np.int32)), pa.array(np.arange(n, dtype=np.int64)), docs.field("doc_id"), pa.array(ends - starts), pa.array(crc, pa.int64()), pa.array(starts)], ["shard", "part", "place", "doc_id", "n_tokens", "ids_crc32", "before"])
 
-    rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
+    rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(trimmed(run), schema)
     # one row a file: what all files before it hold
     sums = rows.groupBy("shard", "part").agg(F.sum("n_tokens").alias("n"))
     ahead = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)

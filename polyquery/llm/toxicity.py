@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polyquery.llm.common import ship, sliced, texts
+from polyquery.llm.common import ship, sliced, texts, trimmed
 from polyquery.llm.crf import Crf, logistic, probability, shifted
 from polyquery.llm.labelled import FIT_DOCUMENTS, held_out, sample
 
@@ -194,7 +194,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 spans[d] = _spans(raw[d], low[d], words[d], set((hot[owner == d] - at[d]).tolist()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.scores(p, at)), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], ["doc_id", "score", "spans"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, score double, spans array<struct<start: long, end: long>>")
+    return texts(docs).mapInArrow(trimmed(run), "doc_id long, score double, spans array<struct<start: long, end: long>>")
 
 
 def _spans(raw: str, low: str, words: list[str], hot: set[int]) -> list[dict[str, int]]:
@@ -239,4 +239,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame, most: float = 0.7) -> DataFra
             p, at = model.tokens([(t.as_py() or "").lower().split() for t in batch.column(where)], look)
             yield batch.filter(pa.array(model.scores(p, at) < most))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
