@@ -285,12 +285,13 @@ def query(docs: DataFrame) -> DataFrame:
     return groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` whose doc_id is its component's least; of rows with one doc_id one stays.
 
-    Rows without a doc_id can't stand for a group and are all kept.
+    ``found`` has doc_id and component_id (default: those of :func:`groups`). Rows
+    without a doc_id can't stand for a group and are all kept.
     """
-    found = groups(docs)
+    found = groups(docs) if found is None else found
     ids = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
     kept = docs.join(ids, docs["doc_id"] == ids["kept_id"], "left_semi").dropDuplicates(["doc_id"])
     return kept.unionAll(docs.where(docs["doc_id"].isNull()))
