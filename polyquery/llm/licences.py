@@ -82,11 +82,13 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     ("SPDX", ("spdx",)),
 ]
 
-#: Every known sentence has one of these; texts without any are done after one look.
-SIGNS = r"(?i)licen[sc]e|permission|redistribut|copyright|warrant|mozilla|mpl was not|public domain|unencumbered"
+#: Every known sentence has one of these, each within one word, so line ends and marks can't part it; texts without any are done after one look.
+SIGNS = r"(?i:licen[sc]e|permission|redistribut|copyright|warrant|mozilla|unencumbered|cc0|commons)|(?:^|[^0-9A-Za-z])[Mm][Pp][Ll](?:[^0-9A-Za-z]|$)"
+#: Characters of a sentence that runs over pieces, at least; known ones without a free part are far shorter.
+LONGEST = 1200
 _END = re.compile(r"(?:[.!?:;]+(?=\s)|[.!?:;]+\Z|\n+)")
 _OTHER = re.compile(r"[^0-9a-z]+")
-_SIGN = re.compile(SIGNS)
+_ANCHOR = re.compile(r"licensed|released|distributed|dedicated")
 
 
 def sentences(text: str) -> list[tuple[int, int, str]]:
@@ -99,37 +101,102 @@ def sentences(text: str) -> list[tuple[int, int, str]]:
     return [(a, b, n) for a, b in out if (n := _OTHER.sub(" ", text[a:b].lower()).strip())]
 
 
+def alternatives(pattern: str) -> list[str]:
+    """All that a pattern of letters, groups, "?" and ".*" stands for; ".*" stays."""
+
+    def several(at: int) -> tuple[list[str], int]:
+        out, now = [], [""]
+        while at < len(pattern) and pattern[at] != ")":
+            if pattern[at] == "|":
+                out, now, at = out + now, [""], at + 1
+                continue
+            if pattern[at] == "(":
+                item, at = several(at + 1)
+                at += 1
+            elif pattern.startswith(".*", at):
+                item, at = [".*"], at + 2
+            else:
+                item, at = [pattern[at]], at + 1
+            if pattern[at : at + 1] == "?":
+                item, at = ["", *item], at + 1
+            now = [x + y for x in now for y in item]
+        return out + now, at
+
+    return several(0)[0]
+
+
+@lru_cache(1)
+def _known() -> list[tuple[str, re.Pattern, re.Pattern, bool, bool]]:
+    """Name, pattern, pattern without a free start, whether its start is free and whether it has a free part inside."""
+    out = []
+    for name, pattern in SENTENCES.items():
+        bare = pattern.removeprefix(".*")
+        inside = any(".*" in x.removesuffix(".*") for x in alternatives(bare))
+        out.append((name, re.compile(pattern), re.compile(bare), bare != pattern, inside))
+    return out
+
+
 @lru_cache(1)
-def _known() -> list[tuple[str, re.Pattern]]:
-    return [(name, re.compile(pattern)) for name, pattern in SENTENCES.items()]
+def _beginnings() -> tuple[set[str], set[str], tuple[str, ...]]:
+    """What known sentences begin with, at word ends: what must go on, what may go on freely at its end, and what a free part inside follows."""
+    more, free, inside = set(), set(), set()
+    for pattern in SENTENCES.values():
+        for text in alternatives(pattern.removeprefix(".*")):
+            head, star, rest = text.partition(".*")
+            words = head.split()
+            more.update(" ".join(words[:k]) for k in range(1, len(words)))
+            if star and rest:
+                inside.add(" ".join(words))
+            elif star and head.endswith(" "):
+                free.add(" ".join(words))
+    return more, free, tuple(inside)
 
 
 def identify(normalised: str) -> str | None:
     """The identifier of a known sentence; the first pattern that matches all of it."""
-    for name, pattern in _known():
+    for name, pattern, *_ in _known():
         if pattern.fullmatch(normalised):
             return name
     return None
 
 
+def _from(parts: list[tuple[int, int, str]], i: int) -> tuple[int, str, bool] | None:
+    """(last piece, identifier, whether a free part runs over pieces) of the longest known sentence that begins in piece i.
+
+    Pieces are joined as long as they are the beginning of a known sentence. One
+    with a free start begins at its first own word, so it takes no earlier piece.
+    """
+    more, free, inside = _beginnings()
+    joined = parts[i][2]
+    name = identify(joined)
+    best = (i, name, False) if name else None
+    starts = sorted({0, *(m.start() for m in _ANCHOR.finditer(joined))})
+    for j in range(i + 1, len(parts)):
+        tails = [(s, joined[s:]) for s in starts]
+        kept = [s for s, t in tails if t in more or best is None and (t in free or any(t == h or t.startswith(h + " ") for h in inside))]
+        if not kept or len(joined) > LONGEST:
+            break
+        starts = kept
+        joined = f"{joined} {parts[j][2]}"
+        for name, _, bare, leading, wild in _known():
+            if any((leading or not s) and bare.fullmatch(joined, s) for s in starts):
+                best = (j, name, wild)
+                break
+    return best
+
+
 def known_sentences(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, identifier) of known sentences; a sentence that runs over lines is tried whole as well."""
+    """(start, end, identifier) of known sentences; one that runs over lines or marks is joined.
+
+    A free part that runs over pieces takes no other known sentence.
+    """
     parts = sentences(text)
     out, i = [], 0
     while i < len(parts):
-        # long sentences wrap: join lines until one is known, at most as many as the longest pattern's words could take
-        joined = ""
-        for j in range(i, min(len(parts), i + 12)):
-            joined = f"{joined} {parts[j][2]}".strip()
-            if j > i and not _SIGN.search(joined):
-                break
-            name = identify(joined)
-            if name:
-                out.append((parts[i][0], parts[j][1], name))
-                i = j
-                break
-            if len(joined) > 1200:
-                break
+        found = _from(parts, i)
+        if found and not (found[2] and any(_from(parts, k) for k in range(i + 1, found[0] + 1))):
+            out.append((parts[i][0], parts[found[0]][1], found[1]))
+            i = found[0]
         i += 1
     return out
 

@@ -33,3 +33,41 @@ def test_scan(spark):
     got = sorted(((r.doc_id, r.licences, r.n_known) for r in L.query(df).collect()), key=str)
     assert got == sorted([(1, "Apache-2.0", 1), (2, "GPL-3.0-only", 1), (3, "MIT CC-BY-NC", 2), (4, "", 0), (5, "", 0), (6, "", 0), (None, "MIT", 1), (1, "", 0), (8, "", 0)], key=str)
     assert L.query(df.limit(0)).collect() == []
+
+
+def spoken():
+    """A sentence for each alternative of each pattern, free parts filled in."""
+    return [(name, " ".join(a.replace(".*", " some words ").split())) for name, pattern in L.SENTENCES.items() for a in L.alternatives(pattern)]
+
+
+def test_alternatives():
+    assert sorted(L.alternatives("(a |the )?x(y|z)?.*")) == sorted(p + q + r + ".*" for p in ("", "a ", "the ") for q in "x" for r in ("", "y", "z"))
+    for name, text in spoken():
+        assert re.fullmatch(L.SENTENCES[name], text), text
+
+
+def test_each_alternative_is_found(spark):
+    """Whole, a word a line, and behind another sentence; the look for signs skips none."""
+    rows = spoken()
+    texts = [t for _, text in rows for t in (text.capitalize() + ".", text.replace(" ", "\n"), f"First of all\n{text}.")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.sentence_ids, r.first_char) for r in L.scan(df).collect()}
+    for k, (name, text) in enumerate(rows):
+        want = L.identify(text)
+        assert got[3 * k] == (want, 0), text
+        assert got[3 * k + 1][0].split()[:1] == [want], text
+        assert got[3 * k + 2] == (want, 13), text
+
+
+def test_signs_and_joins():
+    def names(text):
+        return [n for _, _, n in L.known_sentences(text)]
+
+    gpl = "This program is free software: you\ncan redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    assert names(gpl) == ["gpl3_later"]
+    assert names(gpl.replace(" ", "\n")) == ["gpl3_later"]
+    assert names("Released under CC0 1.0.") == ["cc0_notice"]
+    assert names("Licensed under Creative Commons Attribution\nShareAlike 4.0.") == ["ccbysa_notice"]
+    assert names("Some text.\nReleased under the MIT License.\nLicensed under CC BY-NC 4.0.") == ["mit_notice", "ccbync_notice"]
+    assert names("We licensed the film.\nReleased under the MIT License.\nArt released under CC0.") == ["mit_notice", "cc0_notice"]
+    assert names("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at\nhttps://mozilla.org/MPL/2.0/.") == ["mpl2_notice", "mpl2_copy"]
