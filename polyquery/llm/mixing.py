@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from polyquery.llm.common import materialise, mix64, ship, sliced, texts, trimmed, utf8
-from polyquery.llm.labelled import FIT_CHARACTERS
+from polyquery.llm.labelled import FIT_CHARACTERS, within
 from polyquery.llm.lines import SIZES, Lines, hashed, observe
 
 DOMAINS = ("good", "poor", "toxic")
@@ -152,8 +152,8 @@ def domain_of(labels: DataFrame) -> DataFrame:
     return labels.select(F.col("doc_id").cast("long").alias("doc_id"), kind.alias("domain")).where("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.max("domain").alias("domain"))
 
 
-def learn(docs: DataFrame, domains: DataFrame, count: int, each: int = FIT_EACH) -> Model:
-    """Fit on about ``each`` labelled documents of each domain, picked by a hash of doc_id."""
+def learn(docs: DataFrame, domains: DataFrame, count: int, each: int = FIT_EACH, characters: int = FIT_CHARACTERS) -> Model:
+    """Fit on about ``each`` labelled documents of each domain, picked by a hash of doc_id, and at most ``characters`` of text."""
     sizes = {r["domain"]: r["n"] for r in domains.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     spread = 1 << 20
     under = F.lit(0)
@@ -161,14 +161,8 @@ def learn(docs: DataFrame, domains: DataFrame, count: int, each: int = FIT_EACH)
         under = F.when(F.col("domain") == d, F.lit(min(spread, int(spread * each / n)))).otherwise(under)
     ids = domains.where(F.pmod(F.xxhash64("doc_id"), F.lit(spread)) < under)
     # about ``each`` rows a domain: small enough to send to every task
-    picked = texts(docs).join(F.broadcast(ids), "doc_id")
-    rows, room = [], FIT_CHARACTERS
-    for r in sorted(picked.toLocalIterator(), key=lambda r: (r["doc_id"] * 2654435761 % (1 << 32), r["doc_id"], r["text"] or "")):
-        room -= len(r["text"] or "")
-        if room < 0:
-            break
-        rows.append((r["text"] or "", int(r["domain"])))
-    return fit(rows, count)
+    rows = within(docs, ids.withColumnRenamed("domain", "label"), characters)
+    return fit([(text, d) for _, text, d in sorted(rows, key=lambda r: (r[0] * 2654435761 % (1 << 32), r[0], r[1]))], count)
 
 
 def posteriors(docs: DataFrame, model: Model, names: tuple[str, ...] = DOMAINS) -> DataFrame:
