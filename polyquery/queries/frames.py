@@ -46,10 +46,10 @@ def unpivot(load, spark):
     return R.unpivot(df, ["n_nationkey"], ["region", "odd"], "k", "v")
 
 
-@frame("frame_range_join", "select c_custkey, p_partkey from customer join part on c_acctbal >= p_retailprice and c_acctbal < p_retailprice + 5 where c_custkey < 300")
+@frame("frame_range_join", "select c_custkey, p_partkey from customer join part on c_acctbal >= p_retailprice and c_acctbal < p_retailprice + 5")
 def range_join(load, spark):
     parts = load("part").selectExpr("p_partkey", "p_retailprice as low", "p_retailprice + 5 as high")
-    return R.range_join(load("customer").where("c_custkey < 300"), parts, "c_acctbal", "low", "high", 50.0).select("c_custkey", "p_partkey")
+    return R.range_join(load("customer"), parts, "c_acctbal", "low", "high", 50.0).select("c_custkey", "p_partkey")
 
 
 @frame("frame_as_of_join", "select e.event_id, o.o_orderkey from events e asof left join (select o_custkey, o_orderdate, max(o_orderkey) as o_orderkey from orders group by all) o on e.user_id = o.o_custkey and e.ts >= o.o_orderdate")

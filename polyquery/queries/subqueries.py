@@ -7,7 +7,7 @@ sql("sub_scalar_select", "select n_name, (select count(*) from customer where c_
 sql("sub_correlated_max", "select o_orderkey, o_custkey from orders o where o_totalprice = (select max(o_totalprice) from orders i where i.o_custkey = o.o_custkey)")
 sql("sub_exists", "select c_custkey from customer where exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 300000)")
 sql("sub_not_exists", "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
-sql("sub_exists_inequality", "select a.o_orderkey from orders a where a.o_orderkey < 2000 and exists (select 1 from orders b where b.o_custkey = a.o_custkey and b.o_orderdate > a.o_orderdate and b.o_totalprice > a.o_totalprice)")
+sql("sub_exists_inequality", "select a.o_orderkey from orders a where exists (select 1 from orders b where b.o_custkey = a.o_custkey and b.o_orderdate > a.o_orderdate and b.o_totalprice > a.o_totalprice)")
 sql("sub_in", "select count(*) as n from lineitem where l_partkey in (select p_partkey from part where p_size = 1)")
 sql("sub_not_in", "select n_name from nation where n_nationkey not in (select s_nationkey from supplier where s_acctbal > 5000)")
 sql("sub_not_in_null", "select n_name from nation where n_nationkey not in (select nullif(s_nationkey, 3) from supplier)")
