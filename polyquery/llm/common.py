@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -27,9 +28,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder that driver and executors share."""
+    """A fresh folder that driver and executors share: below spark.checkpoint.dir; in local mode without that, below the temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file://{tempfile.gettempdir()}/polyquery-work"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

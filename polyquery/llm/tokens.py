@@ -18,7 +18,9 @@ line end, which Arrow readers never reach.
 
 from __future__ import annotations
 
+import re
 import sys
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -27,16 +29,16 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
-import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from polyquery.llm.common import ship, text_bytes, texts, trimmed, work_dir
+from polyquery.llm.common import ship, sliced, text_bytes, texts, trimmed, work_dir
 
 SEQUENCE = 2048
 #: Text that one shard covers, and ids after which a writer starts the shard's next file.
 SHARD_TEXT = 24 << 20
-PART_IDS = 8 << 20
+PART_IDS = 4 << 20
 ROWS_A_BATCH = 256
 #: How a byte-level vocabulary parts text, and what it takes for white space (fixed values).
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -45,7 +47,21 @@ ODD = ("  ", "\n\n", " \n", "\n ", *(chr(c) for c in (9, 11, 12, 13, 28, 29, 30,
 ODD_WIDE = tuple(chr(c) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 #: Marks that end a word in one part of their own.
 MARKS = ".,!?;:|*&%$#"
-KEPT_WORDS = 400_000
+#: Words that a memory holds before it starts anew.
+KEPT_WORDS = 150_000
+
+
+def _known_characters() -> re.Pattern:
+    """Finds a character that Unicode tables of different versions may class differently: one unassigned here, or beyond U+FFFF."""
+    sure, begin = [], None
+    for code in range(0x80, 0x10001):
+        assigned = code < 0x10000 and unicodedata.category(chr(code)) not in ("Cn", "Cs")
+        if assigned and begin is None:
+            begin = code
+        elif not assigned and begin is not None:
+            sure.append(f"{re.escape(chr(begin))}-{re.escape(chr(code - 1))}")
+            begin = None
+    return re.compile(f"[^\\x00-\\x7f{''.join(sure)}]")
 
 
 def byte_letters() -> list[str]:
@@ -56,7 +72,12 @@ def byte_letters() -> list[str]:
 
 
 class Encoder:
-    """encode(text) -> little-endian ids, the same as the tokenizer's own, word by word with a bounded memory."""
+    """encode(text) -> little-endian ids, the same as the tokenizer's own, word by word with a bounded memory.
+
+    Parting a text into words here and in the library agrees only for characters
+    that both know, so a text with any other one (:func:`_known_characters`) is
+    encoded as a whole by the library, like one with unusual white space.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -69,6 +90,7 @@ class Encoder:
         self.specials = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.letters = dict(enumerate(byte_letters()))
         self.parts = regex.compile(PARTS)
+        self.unsure = _known_characters()
         self.known: dict[str, bytes] = {}
         self.first = _Words(self, "")
         self.later = _Words(self, " ")
@@ -95,8 +117,9 @@ class Encoder:
             ids = known.get(part)
             if ids is None:
                 ids = self.piece(part)
-                if len(known) < KEPT_WORDS:
-                    known[part] = ids
+                if len(known) >= KEPT_WORDS:
+                    known.clear()
+                known[part] = ids
             out.append(ids)
         return b"".join(out)
 
@@ -115,7 +138,12 @@ class Encoder:
     def _odd(self, text: str) -> bool:
         if text[0] in " \n" or text[-1] in " \n" or any(s in text for s in self.specials) or any(s in text for s in ODD):
             return True
-        return not text.isascii() and any(s in text for s in ODD_WIDE)
+        return not text.isascii() and (self.unsure.search(text) is not None or any(s in text for s in ODD_WIDE))
+
+    def forget(self) -> None:
+        """Empty the memories: Python workers outlive their tasks."""
+        for memory in (self.known, self.first, self.later):
+            memory.clear()
 
     def encode(self, text: str | None) -> bytes:
         if not text:
@@ -135,8 +163,9 @@ class _Words(dict):
     def __missing__(self, word: str) -> bytes:
         if word.isalpha():
             ids = self.encoder.piece(self.lead + word)
-            if len(self) < KEPT_WORDS:
-                self[word] = ids
+            if len(self) >= KEPT_WORDS:
+                self.clear()
+            self[word] = ids
             return ids
         stem = word.rstrip(MARKS)
         if stem.isalpha():  # letters, then marks: two parts
@@ -151,24 +180,6 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encode(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """doc_id and blob (zstd of the document's little-endian ids, end id last) of every row; null text: the end id alone."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
-        end = np.array([end_id], dtype=enc.dtype).tobytes()
-        press = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            out = [press.compress(enc.encode(t.as_py()) + end) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "blob"])
-
-    return texts(docs).mapInArrow(trimmed(run), "doc_id long, blob binary")
-
-
-def id_type(tokenizer: str) -> str:
-    return "<u2" if encoder(tokenizer).dtype.itemsize == 2 else "<u4"
-
-
 def _file(shard: int, part: int, docs: list[int], sizes: list[int], ids: np.ndarray, length: int, end_id: int) -> bytes:
     """One file's bytes."""
     kind = pa.uint16() if ids.dtype.itemsize == 2 else pa.uint32()
@@ -195,53 +206,47 @@ def _file(shard: int, part: int, docs: list[int], sizes: list[int], ids: np.ndar
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, length: int = SEQUENCE, shard_text: int = SHARD_TEXT) -> None:
     """Encode ``docs`` and write them below ``path`` in ascending doc_id order.
 
-    Shards are ranges of doc_id (from approximate quantiles of doc_id alone);
-    a task sorts one shard and streams it into files of about PART_IDS ids, a
-    document being whole in one file. Null texts give the end id alone; rows
-    without a doc_id come first; rows with one doc_id stay next to each other,
-    in the order of their bytes. An empty table writes no file.
+    Shards are range partitions of (doc_id, a hash of the text), so the rows of
+    one doc_id spread as well; a task encodes its sorted texts and streams them
+    into files of about PART_IDS ids, a document being whole in one file. Null
+    texts give the end id alone; rows without a doc_id come first; rows with one
+    doc_id stay next to each other, in the order of their texts' hashes. An empty
+    table writes no file.
     """
     spark = docs.sparkSession
     ship(spark)
     n = max(1, -(-text_bytes(docs) // shard_text))
-    dtype = id_type(tokenizer)
-    bounds: list[int] = []
-    if n > 1:
-        probs = [k / n for k in range(1, n)]
-        bounds = sorted({int(b) for b in docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), probs, 10 * n + 10000).alias("b")).first()["b"] or []})
-    coded = encode(docs, tokenizer, end_id)
-    # width_bucket-like rank of doc_id among the bounds, without a Python call
-    ranks = F.coalesce(F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>"), lambda b: b < F.col("doc_id"))), F.lit(0)) if bounds else F.lit(0)
-    placed = coded.withColumn("shard", ranks.cast("int"))
-    shards = len(bounds) + 1
-    dealt = placed.repartitionById(shards, "shard") if hasattr(placed, "repartitionById") else placed.repartition(shards, "shard")
-    ordered = dealt.sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "blob")
+    own = texts(docs).withColumn("place", F.xxhash64("text"))
+    order = (F.col("doc_id").asc_nulls_first(), F.col("place"))
+    ordered = own.repartitionByRange(n, *order).sortWithinPartitions(*order, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpress = zstandard.ZstdDecompressor()
-        shard, part, held = None, 0, 0
-        ids: list[np.ndarray] = []
+        enc = encoder(tokenizer)
+        end = np.array([end_id], dtype=enc.dtype).tobytes()
+        shard, part, held = TaskContext.get().partitionId(), 0, 0
+        ids: list[bytes] = []
         names: list[int] = []
 
         def flush() -> pa.RecordBatch:
-            body = _file(shard, part, names, [len(x) for x in ids], np.concatenate(ids), length, end_id)
+            flat = np.frombuffer(b"".join(ids), dtype=enc.dtype)
+            body = _file(shard, part, names, [len(x) // enc.dtype.itemsize for x in ids], flat, length, end_id)
             return pa.RecordBatch.from_arrays([pa.array([body], pa.binary())], ["value"])
 
-        for batch in batches:
-            for s, d, b in zip(batch.column("shard").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("blob")):
-                if ids and (s != shard or held >= PART_IDS):
-                    yield flush()
-                    part = part + 1 if s == shard else 0
-                    ids, names, held = [], [], 0
-                if s != shard:
-                    shard, part = s, 0
-                ids.append(np.frombuffer(unpress.decompress(b.as_py()), dtype=dtype))
-                names.append(d)
-                held += len(ids[-1])
-        if ids:
-            yield flush()
-
-    files = ordered.select("shard", "doc_id", "blob").mapInArrow(trimmed(run), "value binary")
+        try:
+            for batch in sliced(batches):
+                for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                    if held >= PART_IDS:
+                        yield flush()
+                        part, ids, names, held = part + 1, [], [], 0
+                    ids.append(enc.encode(t.as_py()) + end)
+                    names.append(d)
+                    held += len(ids[-1]) // enc.dtype.itemsize
+            if ids:
+                yield flush()
+        finally:
+            enc.forget()
+
+    files = ordered.select("doc_id", "text").mapInArrow(trimmed(run), "value binary")
     files.select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("compression", "none").text(path)
 
 
@@ -278,9 +283,19 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 n = len(ends)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, int(meta["shard"]), np.int32)), pa.array(np.full(n, int(meta["part"]), np.int32)), pa.array(np.arange(n, dtype=np.int64)), docs.field("doc_id"), pa.array(ends - starts), pa.array(crc, pa.int64()), pa.array(starts)], ["shard", "part", "place", "doc_id", "n_tokens", "ids_crc32", "before"])
 
-    rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(trimmed(run), schema)
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for body in batch.column("content"):
+                meta, parts = open_file(body.as_buffer())
+                last = next((d for p in reversed(parts) if len(d := p.column("docs").flatten())), None)
+                out.append((int(meta["shard"]), int(meta["part"]), last[-1].as_py()["end"] if last is not None else 0))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.int64()))], ["shard", "part", "n"])
+
+    files = spark.read.format("binaryFile").load(path).select("content")
+    rows = files.mapInArrow(trimmed(run), schema)
     # one row a file: what all files before it hold
-    sums = rows.groupBy("shard", "part").agg(F.sum("n_tokens").alias("n"))
+    sums = files.mapInArrow(trimmed(totals), "shard int, part int, n long")
     ahead = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("shard", "part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
     return rows.join(offsets, ["shard", "part"]).select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", "shard", "part")

@@ -1,3 +1,5 @@
+import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -24,9 +26,36 @@ def test_words_are_the_tokenizers_own(text):
         assert np.frombuffer(enc.encode(text), enc.dtype).tolist() == whole(text)
 
 
+def test_every_character_is_encoded_as_the_library_does():
+    """All code points, each before and behind letters, digits, marks and itself."""
+    from tokenizers import Tokenizer
+
+    own, enc = Tokenizer.from_file(PATH), tokens.Encoder(PATH)
+    codes = [c for c in range(0x20, 0x110000) if not 0xD800 <= c < 0xE000]
+    unsure = [c for c in codes if enc.unsure.search(chr(c))]
+    assert all(c > 0xFFFF or unicodedata.category(chr(c)) == "Cn" for c in unsure)
+    sure = sorted(set(codes) - set(unsure))
+    some = sure + unsure[::400]
+    texts = ["|".join(f"x{chr(c)}'s {chr(c)}1 {chr(c)}{chr(c)} {chr(c)}! a{chr(c)}b 7{chr(c)}" for c in some[k : k + 40]) for k in range(0, len(some), 40)]
+    rng = random.Random(4)
+    texts += ["".join(chr(rng.choice(sure)) if rng.random() < 0.5 else rng.choice("ab 1.'s\n") for _ in range(60)) for _ in range(3000)]
+    for text, want in zip(texts, own.encode_batch_fast(texts, add_special_tokens=False)):
+        assert np.frombuffer(enc.encode(text), enc.dtype).tolist() == want.ids, text
+
+
+def test_memories_start_anew_and_can_be_emptied(monkeypatch):
+    monkeypatch.setattr(tokens, "KEPT_WORDS", 3)
+    enc = tokens.Encoder(PATH)
+    text = " ".join(f"word{chr(97 + i)} {i}x-{i}" for i in range(20))
+    assert np.frombuffer(enc.encode(text), enc.dtype).tolist() == whole(text)
+    assert max(map(len, (enc.known, enc.first, enc.later))) <= 3
+    enc.forget()
+    assert not enc.known and not enc.first and not enc.later
+
+
 def test_round_trip(spark):
     rows = [(i * 7 % 31, t) for i, t in enumerate(TEXTS)] + [(100 + i, "some words " * (i + 1)) for i in range(40)] + [(100, "twice"), (None, "no id")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).selectExpr("text", "doc_id", "1 as shard", "2 as start")
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).selectExpr("text", "doc_id", "1 as shard", "2 as start", "3 as place")
     got = sorted(tokens.round_trip(df, PATH, 2).collect(), key=lambda r: r.start)
     assert len(got) == len(rows)
     ids = [-1 if r.doc_id is None else r.doc_id for r in got]
