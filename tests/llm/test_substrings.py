@@ -38,14 +38,49 @@ def corpus(seed=1):
     return rows
 
 
-@pytest.mark.parametrize("options", [{}, {"group_text": 4000, "tree_text": 3000, "long_prefix": 3}])
+@pytest.mark.parametrize("options", [{}, {"group_text": 4000, "tree_text": 3000, "hot": 1, "fan": 2}])
 def test_against_brute_force(spark, options):
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).selectExpr("text", "doc_id", "1 as g", "2 as n_words")
-    got = sorted((tuple(r) for r in substrings.dedup(df, **options).collect()), key=str)
+    got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.dedup(df, **options).collect()), key=str)
     assert got == brute(rows)
 
 
+def test_windows_that_a_polynomial_hash_cannot_tell_apart(spark):
+    """Thue-Morse words of a/b and their complement have equal polynomial hashes modulo 2**64."""
+    long = "".join("ab"[bin(i).count("1") & 1] for i in range(4096))
+    other = long.translate(str.maketrans("ab", "ba"))
+    words = [f"t{i}" for i in range(19)]
+    rows = [(1, " ".join([*words, long])), (2, " ".join([*words, other])), (3, " ".join([*words, long]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for options in ({}, {"group_text": 4000, "tree_text": 3000}):
+        got = sorted((r.doc_id, r.n_removed) for r in substrings.dedup(df, **options).collect())
+        assert got == [(1, 0), (2, 0), (3, 20)]
+
+
+def test_tree_nodes_are_classes_of_equal_windows():
+    rng = random.Random(3)
+    words = [rng.randrange(1, 4) for _ in range(400)]
+    numbers = substrings.np.array(words, "int32")
+    window, width = 6, 4
+    first = substrings.np.arange(width, 400 - window)
+    bits = substrings.np.full(len(first), (1 << width) - 1)
+    again = substrings.repeats(substrings.table_of(numbers, first, bits, window, width), bits, window, width)
+    for j in range(width):
+        seen = set()
+        for f, b in zip(first.tolist(), again.tolist()):
+            w = tuple(words[f - j : f - j + window])
+            assert bool(b >> j & 1) == (w in seen)
+            seen.add(w)
+
+
+def test_a_null_doc_id_is_no_number(spark):
+    text = " ".join(f"v{i}" for i in range(30))
+    rows = [((1 << 63) - 1, text), (None, text), (0, "x")]
+    got = {r.doc_id: r.n_removed for r in substrings.query(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1 << 63) - 1: 0, None: 30, 0: 0}
+
+
 def test_repeated_rows_of_one_document(spark):
     text = " ".join(f"v{i}" for i in range(30))
     rows = [(1, text), (1, text), (2, text)]
