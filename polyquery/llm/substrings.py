@@ -146,11 +146,15 @@ def repeats(rows: np.ndarray, bits: np.ndarray, window: int, width: int) -> np.n
     common = np.zeros(n, np.int64)  # words that a suffix shares with the one before it in the tree
     common[1:] = np.logical_and.accumulate(some[1:] == some[:-1], axis=1).sum(axis=1)
     del right, some
-    left = np.zeros(n, np.int64)
+    near = common > window - width  # what shares less with both neighbours is in no deep node
+    kept = np.flatnonzero(near | np.append(near[1:], False))
+    whole, common = np.sort(order[kept]), common[kept]
+    order, rows, bits = np.searchsorted(whole, order[kept]), rows[whole], bits[whole]
+    left = np.zeros(len(whole), np.int64)
     for j in range(width):
         if j:
             left = np.unique(left << 32 | rows[:, width - 1 - j], return_inverse=True)[1]
-        node = np.empty(n, np.int64)
+        node = np.empty(len(whole), np.int64)
         node[order] = np.cumsum(common < window - j)
         use = np.flatnonzero(bits >> j & 1)
         if len(use) < 2:
@@ -158,7 +162,7 @@ def repeats(rows: np.ndarray, bits: np.ndarray, window: int, width: int) -> np.n
         code = node[use] << 32 | left[use]
         by = np.argsort(code, kind="stable")
         again = code[by[1:]] == code[by[:-1]]
-        out[use[by[1:][again]]] |= 1 << j
+        out[whole[use[by[1:][again]]]] |= 1 << j
     return out
 
 
