@@ -4,13 +4,16 @@
    the shuffle), so a vector that a third of the rows share is one point.
 2. Vectors are projected to a few dimensions by ``curves`` different random
    rotations, shifted and laid on a Hilbert curve each; a bounded sample gives the
-   quantiles that cut each curve into cells of bounded size, the range partitions.
+   quantiles that cut each curve into cells. Runs of cells are the range
+   partitions that Spark deals points to. A cell of more than ``CELL_ROWS``
+   points is parted by a hash of the point.
 3. A query visits the cells around its own key on every curve; a cell is one
-   matrix product. Lists of the best of each cell merge by query.
+   matrix product. Lists of the best of each cell merge by query and rerank.
 
-The windows cover a share of each curve. Vectors without structure need a wide
-one for good recall (any neighbour then is hardly nearer than chance); vectors
-with structure do with a smaller ``share``.
+The sample also says how wide the windows have to be: of its own nearest
+neighbours ``RECALL`` must be inside a window of some curve. Vectors with
+structure do with narrow ones, vectors without any need wide ones (a neighbour
+then is hardly nearer than chance).
 """
 
 from __future__ import annotations
@@ -23,12 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from polyquery.llm.common import materialise, ship
+from polyquery.llm.common import materialise, mix64, ship, trimmed
 
 DIMENSIONS = 8
 CURVES = 16
-#: Share of a curve, in all, that a query's window covers, and the rows it covers at least.
-SHARE = 0.09
+#: Share of the sample's neighbours that windows must cover, the queries of the sample that are asked, and the rows that a window covers at least.
+RECALL = 0.96
+ASKED = 400
 LEAST_ROWS = 400
 CELL_ROWS = 1 << 14
 #: Vectors that the quantiles are fitted on, at most (about).
@@ -116,19 +120,40 @@ def fit(sample: np.ndarray, cells: int, curves: int = CURVES, dimensions: int =
     return out
 
 
+def window(sample: np.ndarray, curves: Curves, k: int, recall: float = RECALL, asked: int = ASKED) -> float:
+    """The share of a curve that windows must have for ``recall`` of the ``k`` nearest of some of ``sample``'s unit vectors."""
+    n = len(sample)
+    if n <= k + 1:
+        return 1.0
+    some = np.linspace(0, n - 1, min(asked, n)).astype(np.int64)
+    near = np.empty((len(some), k), np.int64)
+    for a in range(0, len(some), 64):
+        rough = sample[some[a : a + 64]] @ sample.T
+        rough[np.arange(len(rough)), some[a : a + 64]] = -2.0
+        near[a : a + 64] = np.argpartition(-rough, k - 1, axis=1)[:, :k]
+    far = np.full(near.shape, n)
+    for c in range(len(curves.turns)):
+        place = np.empty(n, np.int64)
+        place[np.argsort(curves.keys(sample, c), kind="stable")] = np.arange(n)
+        far = np.minimum(far, np.abs(place[near] - place[some][:, None]))
+    return min(1.0, 2.0 * float(np.quantile(far, recall)) / n)
+
+
 def _usable(column: str = "embedding"):
     """Vectors without nulls, non-finite parts or zero length."""
     v = F.col(column)
     return v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
 
 
-def nearest(vectors: DataFrame, every: int = 50, k: int = 5, curves: int = CURVES, share: float = SHARE, dimensions: int = DIMENSIONS) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 50, k: int = 5, curves: int = CURVES, share: float | None = None, dimensions: int = DIMENSIONS, cell_rows: int = CELL_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for every row whose vec_id is divisible by ``every``.
 
-    Vectors that are null, zero or hold a null or non-finite part, and rows
-    without a vec_id, take no part; neither do vectors of another length than
-    the most common one. Ties go to the smaller vec_id. Rows that repeat a
-    vec_id and its vector count once. No usable vector: no row.
+    ``share`` is the part of a curve that a window covers (default: fitted by
+    :func:`window`). Vectors that are null, zero or hold a null or non-finite
+    part, and rows without a vec_id, take no part; neither do vectors of another
+    length than the most common one. Cosines that agree to 12 decimals are tied;
+    ties go to the smaller vec_id. Rows that repeat a vec_id and its vector count
+    once. No usable vector: no row.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -145,37 +170,52 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, curves: int = CURVE
     points = points.join(asks.select("embedding").distinct().withColumn("asked", F.lit(True)), "embedding", "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
     points = materialise(points, "ann-points")
     n = points.count()
-    size = int(np.clip(n // 64, 16, CELL_ROWS))
-    cells = max(1, -(-n // size))
-    reach = max(1, int(np.ceil(max(share * n, LEAST_ROWS) / size / 2)))
+    size = int(np.clip(n // 64, 16, cell_rows))
     some = points.where(F.pmod(F.xxhash64("ids"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, SAMPLE / n))).select("embedding").toPandas()["embedding"]
     if not len(some):
         some = points.select("embedding").limit(1).toPandas()["embedding"]
-    sample = np.stack(some.to_numpy()).astype(float)
-    held = spark.sparkContext.broadcast(fit(sample / np.linalg.norm(sample, axis=1, keepdims=True), cells, curves, dimensions))
+    sample = scaled(np.stack(some.to_numpy()).astype(float))
+    sample /= np.linalg.norm(sample, axis=1, keepdims=True)
+    cells = max(1, min(-(-n // size), len(sample)))
+    fitted = fit(sample, cells, curves, dimensions)
+    share = window(sample, fitted, k) if share is None else share
+    held = spark.sparkContext.broadcast(fitted)
+    reach = max(1, int(np.ceil(max(share * n, LEAST_ROWS) * cells / n / 2)))
+    subs = max(1, -(-n // (cells * cell_rows)))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * curves // (4 * cell_rows)))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Every point to its cell on every curve, and asked points to the cells around as well."""
         c = held.value
+
+        def dealt(batch: pa.RecordBatch, rows: np.ndarray, cell: np.ndarray, curve: int, sub: np.ndarray, ask: bool) -> pa.RecordBatch:
+            take = pa.array(rows)
+            key = (np.int64(curve) * cells + cell) * subs + sub
+            part = key * parts // (curves * cells * subs)
+            return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(key), pa.array(np.full(len(rows), ask)), batch.column("embedding").take(take), batch.column("ids").take(take)], ["part", "cell", "ask", "embedding", "ids"])
+
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
-                v = _matrix(batch.column("embedding"), lengths["n"])
+                v = scaled(_matrix(batch.column("embedding"), lengths["n"]))
                 unit = v / np.linalg.norm(v, axis=1, keepdims=True)
                 asked = np.flatnonzero(batch.column("asked").to_numpy(zero_copy_only=False))
-                for k_curve in range(curves):
-                    cell = c.cells(unit, k_curve)
-                    yield _dealt(batch, np.arange(len(v)), cell, k_curve, False)
+                least = np.array([x[0] for x in batch.column("ids").to_pylist()], np.int64)
+                sub = (mix64(least.view(np.uint64)) % np.uint64(subs)).astype(np.int64)
+                for curve in range(curves):
+                    cell = c.cells(unit, curve).astype(np.int64)
+                    yield dealt(batch, np.arange(len(v)), cell, curve, sub, False)
                     if len(asked):
-                        around = cell[asked][:, None] + np.arange(-reach, reach + 1)
-                        inside = (around >= 0) & (around <= len(c.bounds[k_curve]))
-                        yield _dealt(batch, np.repeat(asked, inside.sum(axis=1)), around[inside].astype(np.int32), k_curve, True)
+                        around = (cell[asked][:, None] + np.arange(-reach, reach + 1)).repeat(subs, axis=1)
+                        inside = (around >= 0) & (around < cells)
+                        every_sub = np.broadcast_to(np.tile(np.arange(subs), 2 * reach + 1), around.shape)
+                        yield dealt(batch, np.repeat(asked, inside.sum(axis=1)), around[inside], curve, every_sub[inside], True)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted rows (points of a cell, then who asks) to the best lists of each who asks."""
         now, parts, body = None, [], None
         for batch in batches:
-            key = batch.column("curve").to_numpy().astype(np.int64) << 32 | batch.column("cell").to_numpy()
+            key = batch.column("cell").to_numpy()
             ask = batch.column("ask").to_numpy(zero_copy_only=False)
             cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(ask.astype(np.int8)) != 0)) + 1
             for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
@@ -187,48 +227,47 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, curves: int = CURVE
                     body = None
                 elif parts:
                     if body is None:
-                        v = np.concatenate([_matrix(p.column("embedding"), lengths["n"]) for p in parts])
+                        v = scaled(np.concatenate([_matrix(p.column("embedding"), lengths["n"]) for p in parts]))
                         body = (v, np.sqrt((v * v).sum(axis=1)), [x for p in parts for x in p.column("ids").to_pylist()])
                     yield _best(part, body, lengths["n"], k + 1)
 
-    fields = "curve int, cell int, ask boolean, embedding array<double>, ids array<long>"
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * curves // (4 * CELL_ROWS)))
-    dealt = points.select("embedding", "ids", "asked").mapInArrow(deal, fields)
-    lists = dealt.repartition(parts, "curve", "cell").sortWithinPartitions("curve", "cell", "ask").mapInArrow(search, "point long, best array<struct<far: double, vec_id: long>>")
+    fields = "part int, cell long, ask boolean, embedding array<double>, ids array<long>"
+    dealt = points.select("embedding", "ids", "asked").mapInArrow(trimmed(deal), fields)
+    lists = dealt.repartitionById(parts, "part").sortWithinPartitions("cell", "ask").drop("part").mapInArrow(trimmed(search), "point long, best array<struct<far: double, vec_id: long, score: double>>")
     merged = lists.groupBy("point").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, k + 1).alias("best"))
     named = points.where("asked").select("embedding", F.element_at("ids", 1).alias("point")).join(merged, "point").select("embedding", "best")
     own = asks.join(named, "embedding").select(F.col("vec_id").alias("query_id"), F.slice(F.filter("best", lambda b: b["vec_id"] != F.col("vec_id")), 1, k).alias("best"))
-    return own.select("query_id", F.posexplode("best").alias("at", "b")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.far")).alias("score"))
+    return own.select("query_id", F.posexplode("best").alias("at", "b")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), F.col("b.score").alias("score"))
 
 
-def _matrix(column: pa.Array, length: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, length)
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Vectors times a power of two each, so that their largest parts are near 1: lengths neither vanish nor overflow, angles stay."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True))[1]) if len(v) else v
 
 
-def _dealt(batch: pa.RecordBatch, rows: np.ndarray, cell: np.ndarray, curve: int, ask: bool) -> pa.RecordBatch:
-    take = pa.array(rows)
-    n = len(rows)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, curve, np.int32)), pa.array(cell), pa.array(np.full(n, ask)), batch.column("embedding").take(take), batch.column("ids").take(take)], ["curve", "cell", "ask", "embedding", "ids"])
+def _matrix(column: pa.Array, length: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, length)
 
 
 def _best(asks: pa.RecordBatch, body: tuple[np.ndarray, np.ndarray, list[list[int]]], length: int, k: int) -> pa.RecordBatch:
-    """For every asking point its ``k`` nearest ids among the points of a cell."""
+    """For every asking point its ``k`` nearest ids among the points of a cell; all that may tie with the last are ranked exactly."""
     v, norm, ids = body
-    q = _matrix(asks.column("embedding"), length)
+    q = scaled(_matrix(asks.column("embedding"), length))
     out, points = [], []
     own = asks.column("ids").to_pylist()
     for a in range(0, len(q), 256):
-        rough = (q[a : a + 256] @ v.T) / norm
-        take = min(len(v), k + 2)
-        near = np.argpartition(-rough, take - 1, axis=1)[:, :take]
-        for i, row in enumerate(near):
-            x = q[a + i]
+        x = q[a : a + 256]
+        rough = (x @ v.T) / (norm * np.sqrt((x * x).sum(axis=1))[:, None])
+        take = min(len(v), k)
+        least = np.partition(rough, len(v) - take, axis=1)[:, len(v) - take]
+        for i, row in enumerate(rough >= least[:, None] - 1e-9):
+            near = np.flatnonzero(row)
             # the same sum in whatever cell a pair meets
-            exact = (v[row] * x).sum(axis=1) / (norm[row] * np.sqrt((x * x).sum()))
-            best = sorted((-float(s), d) for s, r in zip(exact, row.tolist()) for d in ids[r])[:k]
+            exact = (v[near] * x[i]).sum(axis=1) / (norm[near] * np.sqrt((x[i] * x[i]).sum()))
+            best = sorted((-round(float(s), 12), d, float(s)) for s, r in zip(exact, near.tolist()) for d in ids[r])[:k]
             points.append(own[a + i][0])
-            out.append([{"far": f, "vec_id": d} for f, d in best])
-    return pa.RecordBatch.from_arrays([pa.array(points, pa.int64()), pa.array(out, pa.list_(pa.struct([("far", pa.float64()), ("vec_id", pa.int64())])))], ["point", "best"])
+            out.append([{"far": f, "vec_id": d, "score": s} for f, d, s in best])
+    return pa.RecordBatch.from_arrays([pa.array(points, pa.int64()), pa.array(out, pa.list_(pa.struct([("far", pa.float64()), ("vec_id", pa.int64()), ("score", pa.float64())])))], ["point", "best"])
 
 
 def query(vectors: DataFrame) -> DataFrame:

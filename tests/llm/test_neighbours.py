@@ -57,3 +57,41 @@ def test_few_and_none(spark):
     got = neighbours.query(table(spark, rows)).collect()
     assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == [(0, 1, 2), (0, 2, 1)]
     assert neighbours.query(table(spark, [])).collect() == []
+
+
+def test_ties_go_to_the_smaller_id(spark):
+    """Many different vectors of one direction."""
+    rows = [(i, [float(i + 1), 2.0 * (i + 1), 0.5 * (i + 1)]) for i in range(80)] + [(100, [1.0, 0.0, 0.0])]
+    got = {}
+    for r in sorted(neighbours.query(table(spark, rows)).collect(), key=lambda r: (r.query_id, r["rank"])):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {0: [1, 2, 3, 4, 5], 50: [0, 1, 2, 3, 4], 100: [0, 1, 2, 3, 4]}
+
+
+def test_very_small_and_large_vectors(spark):
+    rows = [(0, [1e-200, 2e-200]), (1, [1e200, 2.1e200]), (2, [1e300, -1e300]), (3, [3e-310, 5e-310])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["rank"], r.vec_id, round(r.score, 3)) for r in neighbours.query(df).collect())
+    assert [g[1] for g in got] == [1, 3, 2] and all(np.isfinite(g[2]) for g in got)
+
+
+def test_cells_are_parted_when_the_sample_is_too_small(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SAMPLE", 20)
+    rng = np.random.default_rng(2)
+    rows = [(i, x.tolist()) for i, x in enumerate(rng.normal(size=(600, 16)).astype(np.float32))]
+    want = brute(rows)
+    got = {}
+    for r in neighbours.nearest(table(spark, rows), share=1.0, cell_rows=8).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
+    assert {q: [v[i] for i in sorted(v)] for q, v in got.items()} == {q: [j for j, _ in v] for q, v in want.items()}
+
+
+def test_windows_follow_the_structure():
+    rng = np.random.default_rng(5)
+    noise = rng.normal(size=(4000, 32))
+    grouped = rng.normal(size=(400, 32)).repeat(10, axis=0) + 0.05 * rng.normal(size=(4000, 32))
+    share = []
+    for v in (noise, grouped):
+        unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+        share.append(neighbours.window(unit, neighbours.fit(unit, 64), 5))
+    assert share[1] < 0.02 < share[0] < 0.2
