@@ -40,8 +40,12 @@ SENTENCES = {
     "gpl3_notice": r"(this (file|work|software|program) is )?(licensed|released|distributed) under the gnu general public license version 3( 0)?",
     "gpl2_later": r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
     "gpl3_later": r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-    "gpl_useful": r"this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
-    "gpl_details": r"see the gnu general public license for more details",
+    "gpl_useful": r"this (program|library) is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "gpl_details": r"see the gnu (lesser |affero )?general public license for more details",
+    "gpl_received": r"you should have received a copy of the gnu (lesser |affero )?general public license along with this (program|library)",
+    "lgpl21_later": r"this (program|library) is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl3_later": r"this (program|library) is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl3_later": r"this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "lgpl21_notice": r".*(licensed|released|distributed) under the gnu lesser general public license version 2 1",
     "lgpl3_notice": r".*(licensed|released|distributed) under the gnu lesser general public license version 3( 0)?",
     "agpl3_notice": r".*(licensed|released|distributed) under the gnu affero general public license version 3( 0)?",
@@ -53,20 +57,57 @@ SENTENCES = {
     "ccby_notice": r".*licensed under (a |the )?(cc by|creative commons attribution)( (4 0|3 0|2 0))?( (international|unported|generic))?( license)?",
     "ccbysa_notice": r".*licensed under (a |the )?(cc by sa|creative commons attribution share ?alike)( (4 0|3 0|2 0))?( (international|unported|generic))?( license)?",
     "ccbync_notice": r".*licensed under (a |the )?(cc by nc|creative commons attribution non ?commercial)( (4 0|3 0|2 0))?( (international|unported|generic))?( license)?",
+    "ccbynd_notice": r".*licensed under (a |the )?(cc by nd|creative commons attribution no ?derivatives)( (4 0|3 0|2 0))?( (international|unported|generic))?( license)?",
+    "ccbyncsa_notice": r".*licensed under (a |the )?(cc by nc sa|creative commons attribution non ?commercial share ?alike)( (4 0|3 0|2 0))?( (international|unported|generic))?( license)?",
+    "ccbyncnd_notice": r".*licensed under (a |the )?(cc by nc nd|creative commons attribution non ?commercial no ?derivatives)( (4 0|3 0|2 0))?( (international|unported|generic))?( license)?",
+    "zlib_as_is": r"this software is provided as is without any express or implied warranty",
+    "zlib_liable": r"in no event will the authors be held liable for any damages arising from the use of this software",
+    "zlib_grant": r"permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "zlib_origin": r"(1 )?the origin of this software must not be misrepresented you must not claim that you wrote the original software",
+    "boost_grant": r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software.*",
+    "boost_notice": r"(licensed|released|distributed) under the boost software license version 1 0",
+    "epl2_notice": r"this program and the accompanying materials are made available under the terms of the eclipse public license( v| version)? 2 0( which is available at .*)?",
+    "mpl11_notice": r"the contents of this file are subject to the mozilla public license version 1 1 the license",
+    "cddl_notice": r"the contents of this file are subject to the terms of the common development and distribution license the license",
+    "eupl12_notice": r"licensed under the eupl version 1 2( only| or later)?",
+    "zero_bsd_grant": r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "isc_as_is": r"the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "isc_liable": r"in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits.*",
+    "json_good": r"the software shall be used for good not evil",
+    "ofl_notice": r"this font software is licensed under the sil open font license version 1 1",
+    "postgresql_grant": r"permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies",
+    "artistic2_notice": r"(licensed|released|distributed) under the (terms of the )?artistic license( version)? 2 0",
+    "unlicense_free": r"anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    "wtfpl_verbatim": r"everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed",
+    "beerware": r"as long as you retain this notice you can do whatever you want with this stuff",
+    "bsd_as_is": r"this software is provided by the (copyright holders and contributors|regents and contributors|author) as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
     "spdx": r"spdx license identifier .*",
 }
 
 #: Rules in order: licence and the sentence identifiers that stand for it, one after the other ("?" may be missing).
 RULES: list[tuple[str, tuple[str, ...]]] = [
     ("Apache-2.0", ("apache2_notice", "apache2_comply", "apache2_obtain?", "apache2_unless", "apache2_see")),
+    ("JSON", ("mit_grant", "mit_include", "json_good", "mit_as_is?", "mit_liable?")),
     ("MIT", ("mit_grant", "mit_include", "mit_as_is", "mit_liable?")),
-    ("BSD-3-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_endorse")),
-    ("BSD-2-Clause", ("bsd_grant", "bsd_source", "bsd_binary")),
-    ("GPL-3.0-or-later", ("gpl3_later", "gpl_useful?", "gpl_details?")),
-    ("GPL-2.0-or-later", ("gpl2_later", "gpl_useful?", "gpl_details?")),
+    ("MIT-0", ("mit_grant", "mit_as_is", "mit_liable?")),
+    ("BSD-3-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_endorse", "bsd_as_is?")),
+    ("BSD-2-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_as_is?")),
+    ("GPL-3.0-or-later", ("gpl3_later", "gpl_useful?", "gpl_details?", "gpl_received?")),
+    ("GPL-2.0-or-later", ("gpl2_later", "gpl_useful?", "gpl_details?", "gpl_received?")),
+    ("LGPL-3.0-or-later", ("lgpl3_later", "gpl_useful?", "gpl_details?", "gpl_received?")),
+    ("LGPL-2.1-or-later", ("lgpl21_later", "gpl_useful?", "gpl_details?", "gpl_received?")),
+    ("AGPL-3.0-or-later", ("agpl3_later", "gpl_useful?", "gpl_details?", "gpl_received?")),
     ("MPL-2.0", ("mpl2_notice", "mpl2_copy?")),
+    ("ISC", ("isc_grant", "isc_as_is?", "isc_liable?")),
     ("ISC", ("isc_grant", "mit_as_is?")),
-    ("Unlicense", ("unlicense",)),
+    ("0BSD", ("zero_bsd_grant", "isc_as_is", "isc_liable?")),
+    ("0BSD", ("zero_bsd_grant",)),
+    ("Zlib", ("zlib_as_is?", "zlib_liable?", "zlib_grant", "zlib_origin?")),
+    ("BSL-1.0", ("boost_grant",)),
+    ("PostgreSQL", ("postgresql_grant",)),
+    ("Unlicense", ("unlicense", "unlicense_free?")),
+    ("WTFPL", ("wtfpl_verbatim",)),
+    ("Beerware", ("beerware",)),
     ("Apache-2.0", ("apache2_notice",)),
     ("MIT", ("mit_notice",)),
     ("BSD", ("bsd_notice",)),
@@ -75,6 +116,16 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     ("LGPL-2.1-only", ("lgpl21_notice",)),
     ("LGPL-3.0-only", ("lgpl3_notice",)),
     ("AGPL-3.0-only", ("agpl3_notice",)),
+    ("MPL-1.1", ("mpl11_notice",)),
+    ("EPL-2.0", ("epl2_notice",)),
+    ("CDDL-1.0", ("cddl_notice",)),
+    ("EUPL-1.2", ("eupl12_notice",)),
+    ("BSL-1.0", ("boost_notice",)),
+    ("OFL-1.1", ("ofl_notice",)),
+    ("Artistic-2.0", ("artistic2_notice",)),
+    ("CC-BY-NC-SA", ("ccbyncsa_notice",)),
+    ("CC-BY-NC-ND", ("ccbyncnd_notice",)),
+    ("CC-BY-ND", ("ccbynd_notice",)),
     ("CC-BY-NC", ("ccbync_notice",)),
     ("CC-BY-SA", ("ccbysa_notice",)),
     ("CC-BY", ("ccby_notice",)),
@@ -83,7 +134,7 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
 ]
 
 #: Every known sentence has one of these, each within one word, so line ends and marks can't part it; texts without any are done after one look.
-SIGNS = r"(?i:licen[sc]e|permission|redistribut|copyright|warrant|mozilla|unencumbered|cc0|commons)|(?:^|[^0-9A-Za-z])[Mm][Pp][Ll](?:[^0-9A-Za-z]|$)"
+SIGNS = r"(?i:licen[sc]e|permission|redistribut|copyright|warrant|mozilla|unencumbered|cc0|commons|liable|misrepresented|distribute|evil|stuff|eupl)|(?:^|[^0-9A-Za-z])[Mm][Pp][Ll](?:[^0-9A-Za-z]|$)"
 #: Characters of a sentence that runs over pieces, at least; known ones without a free part are far shorter.
 LONGEST = 1200
 _END = re.compile(r"(?:[.!?:;]+(?=\s)|[.!?:;]+\Z|\n+)")
@@ -221,6 +272,41 @@ def match(identifiers: list[str]) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda r: r[1])
 
 
+_SPDX = re.compile(r"spdx-license-identifier\s*:\s*([^\r\n]*)", re.I)
+_TERM = re.compile(r"[()]|[0-9A-Za-z][0-9A-Za-z.+-]*")
+
+
+def expression(text: str) -> list[str]:
+    """The licences of an SPDX expression, in order; an exception follows its licence behind a slash."""
+    out: list[str] = []
+    joined = False
+    due = True  # a licence comes next
+    for word in _TERM.findall(text):
+        if word in "()":
+            continue
+        if word.upper() in ("AND", "OR"):
+            due = True
+        elif word.upper() == "WITH" and out:
+            joined = True
+        elif joined:
+            out[-1], joined = f"{out[-1]}/{word}", False
+        elif due:
+            out.append(word)
+            due = False
+        else:  # what follows the expression on its line
+            break
+    return out
+
+
+def licences(text: str, found: list[tuple[int, int, str]]) -> list[str]:
+    """The licences of a text by its known sentences; an SPDX tag stands for the licences that it names."""
+    out: list[str] = []
+    for licence, first, _ in match([n for _, _, n in found]):
+        tag = _SPDX.search(text, found[first][0]) if licence == "SPDX" else None
+        out += expression(tag[1]) if tag else [licence]
+    return out
+
+
 SCHEMA = "doc_id long, licences string, sentence_ids string, n_known int, first_char long"
 
 
@@ -239,9 +325,10 @@ def scan(docs: DataFrame) -> DataFrame:
             sign = pc.fill_null(pc.match_substring_regex(text, SIGNS), False).to_numpy(zero_copy_only=False)
             out = []
             for i, hit in enumerate(sign):
-                found = known_sentences(text[i].as_py()) if hit else []
+                whole = text[i].as_py()
+                found = known_sentences(whole) if hit else []
                 names = [n for _, _, n in found]
-                out.append((" ".join(x for x, _, _ in match(names)), " ".join(names), len(names), found[0][0] if found else None))
+                out.append((" ".join(licences(whole, found)), " ".join(names), len(names), found[0][0] if found else None))
             columns = list(zip(*out)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int64())))], ["doc_id", "licences", "sentence_ids", "n_known", "first_char"])
 

@@ -35,6 +35,42 @@ def test_scan(spark):
     assert L.query(df.limit(0)).collect() == []
 
 
+def test_spdx_expressions(spark):
+    texts = {
+        "// SPDX-License-Identifier: MIT": "MIT",
+        "/* SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 */\nint x;": "GPL-2.0-only/Classpath-exception-2.0",
+        "# spdx-license-identifier: (Apache-2.0 OR MIT) AND BSD-3-Clause # more words\nx": "Apache-2.0 MIT BSD-3-Clause",
+        "SPDX-License-Identifier: ISC\nReleased under the MIT License.": "ISC MIT",
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.licences for r in L.scan(df).collect()} == dict(enumerate(texts.values()))
+
+
+def test_wrapped_and_commented_notices(spark):
+    """Apache's notice at any width, bare and behind comment marks, alone and between other text."""
+    flat = " ".join(APACHE.split())
+    texts = []
+    for width in (20, 30, 40, 50, 72, 120):
+        lines, now = [], ""
+        for word in flat.split():
+            if len(now) + len(word) + 1 > width and now:
+                lines.append(now)
+                now = word
+            else:
+                now = f"{now} {word}".strip()
+        lines.append(now)
+        for mark in ("", " * ", "# ", "// ", "-- "):
+            texts.append("Words before.\n" + "\n".join(mark + line for line in lines) + "\nand words behind, " * 3)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.licences for r in L.scan(df).collect()} == {"Apache-2.0"}
+
+
+def test_long_text(spark):
+    text = "plain words without end " * 40_000 + "\n" + APACHE + "\n" + "permission " * 50_000 + "\nReleased under the MIT License."
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert L.scan(df).first()["licences"] == "Apache-2.0 MIT"
+
+
 def spoken():
     """A sentence for each alternative of each pattern, free parts filled in."""
     return [(name, " ".join(a.replace(".*", " some words ").split())) for name, pattern in L.SENTENCES.items() for a in L.alternatives(pattern)]
