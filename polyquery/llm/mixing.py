@@ -6,11 +6,15 @@
    domain in the sample; one vectorised pass over whole texts.
 2. Nonnegative rates r minimise the squared distance of the expected domain
    totals sum(r * tokens * posterior) to the targets, by projected gradient
-   steps from r = 1. A step is the same small vector u for all documents:
-   r <- max(0, r - posterior . u), with u the gradient in the metric of the
-   documents whose rate isn't zero. An iteration is one aggregation to a single
-   row (K totals and K x K products); rates are replayed from the list of u,
-   so nothing of the corpus ever is on the driver.
+   steps from r = 1, in units where a document weighs as its tokens:
+   r <- max(0, r - length * posterior . gap), gap being the totals less the
+   targets. Lengths are Barzilai and Borwein's, taken if the distance falls
+   enough against the last few; else shorter ones, down to the reciprocal of the
+   Gram matrix's largest eigenvalue, which always descends. A step is the same
+   small vector for all documents and an iteration one aggregation to K + 1
+   numbers, so nothing of the corpus ever is on the driver; rates are written
+   every few steps. The fit has converged when the targets are met or the
+   projected gradient vanishes, which for this convex problem is the minimum.
 """
 
 from __future__ import annotations
@@ -20,10 +24,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polyquery.llm.common import materialise, mix64, ship, sliced, texts, trimmed, utf8
+from polyquery.llm.common import materialise, ship, sliced, texts, trimmed, utf8
 from polyquery.llm.labelled import FIT_CHARACTERS, within
 from polyquery.llm.lines import SIZES, Lines, hashed, observe
 
@@ -36,12 +40,15 @@ STEMS = (4, 5, 6)
 LEAST_DOCUMENTS = 4
 PRIOR = 2.0
 ODDS = 3.0
-STEPS = 40
-TOLERANCE = 1e-9
-#: A step that moves no total by this share ends the fit: targets that can't be met.
-STALL = 1e-7
-#: Of the metric's mean, added to it: a domain with hardly any tokens can't throw the others' rates about.
-DAMPING = 1e-3
+#: Aggregations of a fit at most; steps after which rates are written.
+STEPS = 200
+REWRITE = 10
+#: Largest gap, as a share of the tokens, at which targets count as met; largest projected gradient at which a fit that can't meet them has converged.
+TOLERANCE = 1e-7
+FLAT = 1e-6
+#: Distances that a step is held against, and the part of its promise that it must keep.
+MEMORY = 5
+ENOUGH = 1e-4
 
 
 @dataclass
@@ -178,9 +185,9 @@ def posteriors(docs: DataFrame, model: Model, names: tuple[str, ...] = DOMAINS)
     return texts(docs).mapInArrow(trimmed(run), "doc_id long, n_tokens long, " + ", ".join(f"p_{n} double" for n in names))
 
 
-def rate_column(steps: list[np.ndarray], names: tuple[str, ...] = DOMAINS):
-    """The rate of a row after ``steps``."""
-    r = F.lit(1.0)
+def rate_column(steps: list[np.ndarray], names: tuple[str, ...] = DOMAINS, start: Column | None = None) -> Column:
+    """The rate of a row after ``steps`` from ``start`` (1)."""
+    r = F.lit(1.0) if start is None else start
     for u in steps:
         move = F.lit(0.0)
         for k, n in enumerate(names):
@@ -189,48 +196,82 @@ def rate_column(steps: list[np.ndarray], names: tuple[str, ...] = DOMAINS):
     return r
 
 
-def rates(table: DataFrame, targets: dict[str, float], total: float | None = None, names: tuple[str, ...] = DOMAINS, most: int = STEPS) -> tuple[list[np.ndarray], dict[str, float]]:
-    """Steps that lead all rates from 1 to the fit, and the domain totals reached.
+@dataclass
+class Fit:
+    """The steps from rate 1; tokens wanted and reached of each domain; whether it is the minimum; aggregations."""
+
+    steps: list[np.ndarray]
+    wanted: dict[str, float]
+    reached: dict[str, float]
+    converged: bool
+    passes: int
+
+
+def rates(table: DataFrame, targets: dict[str, float], total: float | None = None, names: tuple[str, ...] = DOMAINS, most: int = STEPS) -> Fit:
+    """The rates that bring expected domain totals nearest to the targets.
 
-    ``targets`` are weights of the domains (they are scaled to sum to 1),
-    ``total`` the tokens wanted (default: those of ``table``). A domain that no
-    document belongs to can't be met; the fit then is the nearest there is.
+    ``targets`` are weights of the domains (negative ones count as 0; they are
+    scaled to sum to 1), ``total`` the tokens wanted (default: those of
+    ``table``). Targets that no rates meet give the nearest totals there are.
+    Without tokens or without targets all rates stay 1.
     """
     k = len(names)
     want = np.array([max(0.0, targets.get(n, 0.0)) for n in names])
-    steps: list[np.ndarray] = []
-    start = table.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first()["n"]
+    w = F.col("n_tokens").cast("double")
+    p = [F.col(f"p_{n}") for n in names]
+    first = table.agg(F.sum(w).alias("n"), *(F.sum(w * p[i]).alias(f"a{i}") for i in range(k)), *(F.sum(w * p[i] * p[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i + 1))).first()
+    start = first["n"] or 0.0
     if not start or not want.sum():
-        return steps, dict.fromkeys(names, 0.0)
+        return Fit([], dict.fromkeys(names, 0.0), dict.fromkeys(names, 0.0), True, 1)
     goal = want / want.sum() * (start if total is None else total) / start
-    reached = last = np.zeros(k)
-    for _ in range(most):
-        r = rate_column(steps, names)
-        w = F.col("n_tokens") / F.lit(float(start))
-        row = table.select("*", r.alias("rate"), w.alias("w")).agg(
-            *(F.sum(F.col("w") * F.col("rate") * F.col(f"p_{n}")).alias(f"a{i}") for i, n in enumerate(names)),
-            *(F.sum(F.when(F.col("rate") > 0, F.col("w") * F.col(f"p_{a}") * F.col(f"p_{b}")).otherwise(0.0)).alias(f"g{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names)),
-        ).first()
-        reached = np.array([row[f"a{i}"] for i in range(k)])
-        gap = reached - goal
-        if np.abs(gap).max() < TOLERANCE or len(steps) > 2 and np.abs(reached - last).max() < STALL:
-            break
-        last = reached
-        gram = np.array([[row[f"g{i}_{j}"] or 0.0 for j in range(k)] for i in range(k)])
-        u = np.linalg.solve(gram + DAMPING * max(np.trace(gram) / k, 1e-9) * np.eye(k), gap)
-        if not np.isfinite(u).all():
-            break
-        steps.append(u)
-    return steps, {n: float(x * start) for n, x in zip(names, reached)}
+    gram = np.array([[first[f"g{max(i, j)}_{min(i, j)}"] / start for j in range(k)] for i in range(k)])
+    least = 1.0 / max(float(np.linalg.eigvalsh(gram)[-1]), 1e-12)
+    gap = np.array([first[f"a{i}"] / start for i in range(k)]) - goal
+    now = table.select("n_tokens", *(f"p_{n}" for n in names)).withColumn("rate", F.lit(1.0))
+    taken: list[np.ndarray] = []
+    steps, length, passes = [], least, 1
+    seen = [float(gap @ gap) / 2]
+    done = np.abs(gap).max() < TOLERANCE
+    while not done and passes < most:
+        if len(steps) >= REWRITE:
+            now, steps = materialise(now.withColumn("rate", rate_column(steps, names, F.col("rate"))), "mixing-rates"), []
+        old, new = rate_column(steps, names, F.col("rate")), rate_column([*steps, length * gap], names, F.col("rate"))
+        row = now.select("*", old.alias("old"), new.alias("new")).agg(F.sum(w * (F.col("new") - F.col("old")) * (F.col("new") - F.col("old"))).alias("moved"), *(F.sum(w * F.col("new") * p[i]).alias(f"a{i}") for i in range(k))).first()
+        passes += 1
+        other = np.array([row[f"a{i}"] / start for i in range(k)]) - goal
+        distance, moved = float(other @ other) / 2, row["moved"] / start
+        if length > least * 1.001 and distance > max(seen[-MEMORY:]) - ENOUGH * moved / length:
+            length = max(length / 4, least)
+            continue
+        steps.append(length * gap)
+        taken.append(steps[-1])
+        done = np.abs(other).max() < TOLERANCE or np.sqrt(moved) / length < FLAT
+        turn = other - gap
+        bend = float(turn @ turn)
+        length = float(np.clip(moved / bend, least, 1e6 * least)) if bend > 0 else least
+        gap = other
+        seen.append(distance)
+    tokens = lambda x: {n: float(v * start) for n, v in zip(names, x)}
+    return Fit(taken, tokens(goal), tokens(gap + goal), bool(done), passes)
+
+
+def chance(doc_id: Column) -> Column:
+    """A number from 0 to 1 by a hash of doc_id."""
+    return F.pmod(F.xxhash64(F.coalesce(doc_id.cast("long"), F.lit(-1).cast("long")), F.lit("mix")), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], total: float | None = None) -> DataFrame:
-    """doc_id, n_tokens, p_<domain>, rate and copies (rate rounded by a hash of doc_id, so that its mean is the rate) of every row."""
+    """doc_id, n_tokens, p_<domain>, rate and copies (rate rounded by a hash of doc_id, so that its mean is the rate) of every row.
+
+    Null and empty texts have no tokens and don't count in any total; repeated
+    rows each get a row; a null doc_id stays null and draws like any other. Of
+    several labels of a doc_id the worst counts, null ones don't. Without labels
+    all domains are alike. An empty table gives an empty result.
+    """
     model = learn(docs, domain_of(labels), len(DOMAINS))
     table = materialise(posteriors(docs, model), "mixing")
-    steps, _ = rates(table, targets, total)
-    chance = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit("mix")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return table.withColumn("rate", rate_column(steps)).withColumn("copies", (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))
+    rate = F.col("rate")
+    return table.withColumn("rate", rate_column(rates(table, targets, total).steps)).withColumn("copies", (F.floor(rate) + (chance(F.col("doc_id")) < rate - F.floor(rate)).cast("long")).cast("long"))
 
 
 #: op1: two thirds more poor text than labels call for is never wanted; toxic text is kept rare.
@@ -242,37 +283,34 @@ def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return mix(docs, labels, TARGETS)
 
 
-#: Pipeline: tokens wanted of each domain, as a multiple of what there is.
-STAGE = {"good": 1.25, "poor": 0.5, "toxic": 0.5}
-
+def keep_mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
+    """The rows of ``docs``, each at most once: a row of rate under 1 stays with that probability, by a hash of its doc_id.
 
-def keep_mixed(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs``, each at most once, a row of rate under 1 with that probability.
-
-    The target weights are STAGE times the domains' expected tokens. Good text is
-    asked for beyond what there is, so documents that are mostly good have a rate
-    over 1 and stay; poor and toxic ones are thinned by half.
+    The total is what the weights call for when all good text stays, so good
+    documents keep a rate of about 1; of a domain there is not more asked for
+    than there is, so no row has to be repeated. A row that is good by more than
+    half is never dropped. Rows without words stay; null doc_ids draw like any
+    other; repeated rows share their draw. An empty table gives an empty result.
     """
     model = learn(docs, domain_of(labels), len(DOMAINS))
     ship(docs.sparkSession)
-    table = materialise(posteriors(docs, model), "mixing")
-    there = table.agg(*(F.coalesce(F.sum(F.col("n_tokens") * F.col(f"p_{n}")), F.lit(0.0)).alias(n) for n in DOMAINS)).first()
-    wanted = {n: STAGE[n] * there[n] for n in DOMAINS}
-    steps, _ = rates(table, wanted, sum(wanted.values()))
-    names, schema = docs.columns, docs.schema
+    names = docs.columns
     where = [n.lower() for n in names].index("text")
-    key = [n.lower() for n in names].index("doc_id")
+    inner = [f"c{i}" for i in range(len(names))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, column=names[where]):
+        for batch in sliced(batches, column=inner[where]):
             lines, stems = look(*utf8(batch.column(where)))
             p = model.posteriors(lines, stems)
-            r = np.ones(len(p))
-            for u in steps:
-                r = np.maximum(0.0, r - p @ u)
-            ids = np.array([x if x is not None else -1 for x in batch.column(key).to_pylist()], dtype=np.int64)
-            chance = (mix64(ids.view(np.uint64) ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(34)).astype(float) / (1 << 30)
-            yield batch.filter(pa.array((lines.words == 0) | (chance < r)))
-
-    return docs.mapInArrow(trimmed(run), schema)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lines.words), *(pa.array(p[:, k]) for k in range(len(DOMAINS)))], [*inner, "n_tokens", *(f"p_{n}" for n in DOMAINS)])
 
+    kinds = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in zip(inner, docs.schema.fields))
+    table = docs.toDF(*inner).mapInArrow(trimmed(run), f"{kinds}, n_tokens long, " + ", ".join(f"p_{n} double" for n in DOMAINS))
+    table = materialise(table, "mixing")
+    there = table.agg(*(F.coalesce(F.sum(F.col("n_tokens") * F.col(f"p_{n}")), F.lit(0.0)).alias(n) for n in DOMAINS)).first()
+    total = there["good"] / targets["good"] if targets.get("good") else sum(there)
+    wanted = {n: min(there[n], targets.get(n, 0.0) * total) for n in DOMAINS}
+    steps = rates(table, wanted, sum(wanted.values())).steps
+    key = F.col(inner[[n.lower() for n in names].index("doc_id")])
+    stays = (F.col("n_tokens") == 0) | (F.col("p_good") > 0.5) | (chance(key) < rate_column(steps))
+    return table.where(stays).select(*inner).toDF(*names)

@@ -127,3 +127,57 @@ def test_mixing_keeps_good_documents(spark):
     good = {i for i, q, t in labels if q and not t}
     assert good <= set(kept)
     assert len(kept) < d.count()
+
+
+def cone(p, w, goal):
+    """The least distance of nonnegative mixtures to ``goal``: every way in which at most three rows carry all."""
+    import itertools
+
+    best = float(goal @ goal) / 2
+    a = (p * w[:, None]).T
+    for size in (1, 2, 3):
+        for some in itertools.combinations(range(len(p)), size):
+            x, *_ = np.linalg.lstsq(a[:, some], goal, rcond=None)
+            if (x >= 0).all():
+                d = a[:, some] @ x - goal
+                best = min(best, float(d @ d) / 2)
+    return best
+
+
+@pytest.mark.parametrize("weights", [(0.5, 0.3, 0.2), (1.0, 0.0, 0.0), (0.0, 0.05, 0.95), (0.02, 0.98, 0.0)])
+def test_rates_against_all_supports(spark, weights):
+    """The fit's distance is the least there is, whether targets can be met or not."""
+    rng = np.random.default_rng(8)
+    p = rng.dirichlet([4.0, 2.0, 1.0], 14)
+    w = rng.integers(1, 200, 14)
+    names = mixing.DOMAINS
+    df = spark.createDataFrame([(int(n), *map(float, x)) for n, x in zip(w, p)], "n_tokens long, " + ", ".join(f"p_{n} double" for n in names))
+    fit = mixing.rates(df, dict(zip(names, weights)))
+    assert fit.converged and fit.passes < mixing.STEPS
+    total = w.sum()
+    gap = np.array([fit.reached[n] - fit.wanted[n] for n in names]) / total
+    goal = np.array(weights)
+    assert float(gap @ gap) / 2 == pytest.approx(cone(p, w / total, goal), abs=1e-6)
+    rates = np.array([r.rate for r in df.select(mixing.rate_column(fit.steps).alias("rate")).collect()])
+    assert (rates >= 0).all()
+    assert np.allclose((rates * w) @ p, [fit.reached[n] for n in names])
+
+
+def test_rates_without_tokens_or_targets(spark):
+    df = spark.createDataFrame([(0, 1.0, 0.0, 0.0)], "n_tokens long, p_good double, p_poor double, p_toxic double")
+    assert mixing.rates(df, {"good": 1.0}).steps == [] and mixing.rates(df.limit(0), {"good": 1.0}).steps == []
+    assert mixing.rates(df.selectExpr("5L as n_tokens", "p_good", "p_poor", "p_toxic"), {}).steps == []
+
+
+def test_mixing_stage_reaches_its_weights(spark):
+    """Poor text is thinned to the share asked for, rows with odd values pass."""
+    docs, labels, d, lab = frames(spark)
+    kept = mixing.keep_mixed(d, lab, {"good": 0.9, "poor": 0.1})
+    assert kept.columns == d.columns
+    truth = {i: (q, t) for i, q, t in labels}
+    by = dict(docs)
+    rows = kept.collect()
+    size = {k: sum(len(by[r.doc_id].split()) for r in rows if r.doc_id in truth and truth[r.doc_id] == k) for k in ((1, 0), (0, 0))}
+    assert 0.04 < size[0, 0] / (size[0, 0] + size[1, 0]) < 0.2
+    assert {r.doc_id for r in rows} >= {2000, 2001}
+    assert mixing.keep_mixed(d.limit(0), lab).count() == 0
