@@ -1,11 +1,12 @@
 """Document quality from good and bad lines of a linear-chain conditional random field.
 
-Fit (on a bounded sample of labelled training rows): the joint class of a
-line's observations (marks, capitals, digits, repeated words, length) gets the
-log odds of standing in a bad document; a line of a bad document with high odds
-is a labelled bad line, every other line a good one. The random field learns
-from those labels with a line's own observations and both neighbours' odds as
-features. Scoring: forward-backward marginals of all lines, averaged by line
+Fit (on a bounded sample of labelled training rows, in two halves): the joint
+class of a line's observations (marks, capitals, digits, repeated words, length)
+gets the log odds of standing in a bad document; a line of a bad document whose
+odds are high within its own half is a labelled bad line, every other line a good
+one. The random field learns from those labels with a line's own observations and
+the odds of the line and both neighbours as features, odds being learnt from the
+*other* half: labels are no function of the features. Scoring: forward-backward marginals of all lines, averaged by line
 length, then a logistic curve fitted to the document labels.
 """
 
@@ -37,9 +38,9 @@ class Model:
     crf: Crf
     curve: np.ndarray
 
-    def observations(self, lines: Lines) -> tuple[list[np.ndarray], np.ndarray]:
+    def observations(self, lines: Lines, own: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
         first = lines.first
-        own = self.odds[lines.code]
+        own = self.odds[lines.code] if own is None else own
         return [own, *lines.obs.values(), shifted(own, first, -1, ODDS), shifted(own, first, 1, ODDS)], first
 
     def bad(self, lines: Lines) -> np.ndarray:
@@ -58,6 +59,17 @@ def summary(lines: Lines, bad: np.ndarray) -> np.ndarray:
     return np.column_stack([share, (lines.words == 0).astype(float)])
 
 
+def _odds(owner: np.ndarray, code: np.ndarray, y: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """The odds class of each code, from in how many bad and good documents of ``use`` it stands."""
+    pairs = np.unique(np.column_stack([owner, code])[use[owner]], axis=0)
+    low = (y == 0)[pairs[:, 0]]
+    in_bad = np.bincount(pairs[low, 1], minlength=CODES)
+    in_good = np.bincount(pairs[~low, 1], minlength=CODES)
+    part = use.mean()  # the priors shrink with it, so that classes mean the same
+    odds = np.log((in_bad + 0.01 * part) / (y[use] == 0).sum()) - np.log((in_good + PRIOR * part) / ((y[use] == 1).sum() + PRIOR * part))
+    return np.clip(odds.astype(np.int64), 0, ODDS - 1)
+
+
 def fit(rows: list[tuple[str, int]]) -> Model:
     """A model from (text, quality) rows; without both labels, one that scores the share of good rows."""
     sizes = (ODDS, *SIZES.values(), ODDS + 1, ODDS + 1)
@@ -66,18 +78,19 @@ def fit(rows: list[tuple[str, int]]) -> Model:
         share = float(y.mean()) if len(y) else 1.0
         return Model(np.zeros(CODES, np.int64), Crf(sizes), np.array([0.0, 0.0, math.log((share + 1e-3) / (1 - share + 1e-3))]))
     lines = observe_all([t for t, _ in rows])
+    code = lines.code
     bad_doc = (y == 0)[lines.owner]
-    # in how many bad and good documents a code stands
-    pairs = np.unique(np.column_stack([lines.owner, lines.code]), axis=0)
-    low = (y == 0)[pairs[:, 0]]
-    in_bad = np.bincount(pairs[low, 1], minlength=CODES)
-    in_good = np.bincount(pairs[~low, 1], minlength=CODES)
-    odds = np.log((in_bad + 0.01) / (y == 0).sum()) - np.log((in_good + PRIOR) / ((y == 1).sum() + PRIOR))
-    model = Model(np.clip(odds.astype(np.int64), 0, ODDS - 1), Crf(sizes), np.zeros(3))
-    gold = (bad_doc & (model.odds[lines.code] >= GOLD)).astype(np.int64)
-    obs, first = model.observations(lines)
+    model = Model(_odds(lines.owner, code, y, np.ones(len(y), bool)), Crf(sizes), np.zeros(3))
+    half = np.zeros(len(y), np.int64)
+    for label in (0, 1):  # every other document of each label
+        some = np.flatnonzero(y == label)
+        half[some] = np.arange(len(some)) % 2
+    tables = np.stack([_odds(lines.owner, code, y, half == h) if len(set(y[half == h])) == 2 else model.odds for h in (0, 1)])
+    side = half[lines.owner]
+    gold = (bad_doc & (tables[side, code] >= GOLD)).astype(np.int64)
+    obs, first = model.observations(lines, tables[1 - side, code])
     model.crf.fit(obs, first, gold, steps=30)
-    model.curve = logistic(summary(lines, model.bad(lines)), y)
+    model.curve = logistic(summary(lines, model.crf.marginals(obs, first)), y)
     return model
 
 
@@ -86,7 +99,12 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, bou
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score, n_lines and bad_lines of every row; texts without words get the curve's value for none."""
+    """doc_id, score, n_lines and bad_lines of every row.
+
+    Null and empty texts have no lines and get the curve's value for none;
+    repeated rows each get a row; a null doc_id stays null. An empty table gives an
+    empty result.
+    """
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
