@@ -8,7 +8,8 @@ only regions are aligned: a dynamic programme over the band's diagonals, free at
 the region's ends.
 
 Text is compared with A-Z as a-z and white space runs as one blank; characters
-are UTF-8 bytes. The benchmark is taken in blocks of bounded size, each sent to
+are UTF-8 bytes. Items too short for a q-gram are found as they are, as whole
+words, by one automaton over the text. The benchmark is taken in blocks of bounded size, each sent to
 all tasks as the fixed query set of one pass over the documents.
 """
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,6 +32,8 @@ Q = 12
 BUDGET = 0.05
 #: Benchmark text of one pass.
 BLOCK_TEXT = 4 << 20
+#: Pairs of a place in the text and a place in an item that are held at once.
+PAIRS = 1 << 21
 _SIEVE_BITS = 22
 _HASH = PrefixHash(0xC2B2AE3D27D4EB4F)
 _BYTE = np.random.Generator(np.random.PCG64(3)).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -71,15 +75,19 @@ class Index:
     item: np.ndarray
     place: np.ndarray
     sieve: np.ndarray
+    short: ahocorasick.Automaton | None
 
     @staticmethod
     def build(rows: list[tuple[int | None, str]], q: int = Q, budget: float = BUDGET) -> Index:
-        """Items shorter than q characters hold no q-gram and match nothing; short ones get as many edits as leave a q-gram whole."""
+        """Items get as many edits as leave a q-gram whole; those of less than q characters are found exactly, those of none match nothing."""
         items, bodies = [], []
+        short: dict[str, list[int]] = {}
         for item_id, text in rows:
             raw = np.frombuffer(text.strip().encode("utf-8", "surrogatepass"), np.uint8)
             body = normalise(raw, np.array([0, len(raw)]))[0]
-            if len(body) >= q:
+            if len(body):
+                if len(body) < q:
+                    short.setdefault(body.tobytes().decode("latin-1"), []).append(len(items))
                 items.append(item_id)
                 bodies.append(body)
         size = np.array([len(b) for b in bodies], np.int64)
@@ -92,10 +100,29 @@ class Index:
         order = np.argsort(code, kind="stable")
         sieve = np.zeros(1 << _SIEVE_BITS, bool)
         sieve[_slot(code)] = True
-        return Index(q, items, bodies, edits, least, code[order], item[order], place[order], sieve)
-
-    def hits(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in text, item, place in item) of all shared q-grams."""
+        automaton = None
+        if short:
+            automaton = ahocorasick.Automaton()
+            for text, which in short.items():
+                automaton.add_word(text, (len(text), which))
+            automaton.make_automaton()
+        return Index(q, items, bodies, edits, least, code[order], item[order], place[order], sieve, automaton)
+
+    def words(self, text: np.ndarray) -> list[tuple[int, int, int]]:
+        """(item, start, end) of the short items that stand in ``text`` as whole words."""
+        if self.short is None or not len(text):
+            return []
+        line = text.tobytes().decode("latin-1")
+        out = []
+        for last, (n, which) in self.short.iter(line):
+            start, end = last + 1 - n, last + 1
+            if (not start or line[start - 1] == " ") and (end == len(line) or line[end] == " "):
+                out += [(i, start, end) for i in which]
+        return out
+
+    def hits(self, text: np.ndarray, pairs: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(place in text, item, place in item) of all shared q-grams, about ``pairs`` (default: PAIRS) at a time."""
+        pairs = pairs or PAIRS
         code = grams(text, self.q)
         at = np.flatnonzero(self.sieve[_slot(code)])
         code = code[at]
@@ -103,32 +130,52 @@ class Index:
         n = np.searchsorted(self.code, code, side="right") - low
         use = n > 0
         at, low, n = at[use], low[use], n[use]
-        which = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return np.repeat(at, n), self.item[which], self.place[which]
+        total = np.cumsum(n)
+        begin = 0
+        while begin < len(at):
+            base = total[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(total, base + pairs, side="right")))
+            a, l, c = at[begin:end], low[begin:end], n[begin:end]
+            for first in range(0, int(c.max()) if len(a) == 1 else 1, pairs if len(a) == 1 else 1):
+                if len(a) == 1:  # one q-gram of very many items
+                    c = np.minimum(n[begin:end] - first, pairs)
+                which = np.repeat(l + first, c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+                yield np.repeat(a, c), self.item[which], self.place[which]
+            begin = end
 
     def regions(self, text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, item, first diagonal) of bands with enough shared q-grams."""
-        where, item, place = self.hits(text)
-        doc = np.searchsorted(at, where, side="right") - 1
-        inside = where + self.q <= at[doc + 1]
-        where, item, place, doc = where[inside], item[inside], place[inside], doc[inside]
-        if not len(where):
+        kept: list[np.ndarray] = []
+        for where, item, place in self.hits(text):
+            doc = np.searchsorted(at, where, side="right") - 1
+            inside = where + self.q <= at[doc + 1]
+            where, item, place, doc = where[inside], item[inside], place[inside], doc[inside]
+            if not len(where):
+                continue
+            e = self.edits[item]
+            step = np.maximum(e + 1, 16)  # bands begin every ``step`` diagonals and are step + e wide
+            diagonal = where - at[doc] - place + (1 << 20)  # over 0 for items under 2**20 bytes
+            band = diagonal // step
+            again = diagonal % step < e
+            kept.append(_counted(*(np.concatenate((x, y[again])) for x, y in ((doc, doc), (item, item), (band, band - 1), (np.ones_like(doc), np.ones_like(doc))))))
+            if len(kept) > 1 and sum(k.shape[1] for k in kept[1:]) > kept[0].shape[1]:
+                kept = [_counted(*np.concatenate(kept, axis=1))]
+        if not kept:
             return (np.zeros(0, np.int64),) * 3
-        e = self.edits[item]
-        step = np.maximum(e + 1, 16)  # bands begin every ``step`` diagonals and are step + e wide
-        diagonal = where - at[doc] - place + (1 << 20)  # over 0 for items under 2**20 bytes
-        band = diagonal // step
-        again = diagonal % step < e
-        doc2, item2, band2 = (np.concatenate((x, y[again])) for x, y in ((doc, doc), (item, item), (band, band - 1)))
-        order = np.lexsort((band2, item2, doc2))
-        d, i, b = doc2[order], item2[order], band2[order]
-        first = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (b[1:] != b[:-1]))))
-        count = np.diff(np.append(first, len(d)))
-        use = first[count >= self.least[i[first]]]
+        d, i, b, count = _counted(*np.concatenate(kept, axis=1)) if len(kept) > 1 else kept[0]
+        use = count >= self.least[i]
         step = np.maximum(self.edits[i[use]] + 1, 16)
         return d[use], i[use], b[use] * step - (1 << 20)
 
 
+def _counted(doc: np.ndarray, item: np.ndarray, band: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The different (doc, item, band), and the sum of their counts."""
+    order = np.lexsort((band, item, doc))
+    d, i, b = doc[order], item[order], band[order]
+    first = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (b[1:] != b[:-1]))))
+    return np.stack([d[first], i[first], b[first], np.add.reduceat(count[order], first)])
+
+
 def _slot(code: np.ndarray) -> np.ndarray:
     return ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SIEVE_BITS)).astype(np.int64)
 
@@ -182,6 +229,10 @@ def _matches(index: Index, raw: np.ndarray, at: np.ndarray) -> list[tuple[int, i
         best = (0, a + exact, a + exact + len(body)) if exact >= 0 else align(body, own, first, first + step + e - 1, e)
         if best:
             found.setdefault((d, i), []).append(best)
+    if index.short is not None:
+        for d in range(len(cut) - 1):
+            for i, a, b in index.words(text[cut[d] : cut[d + 1]]):
+                found.setdefault((d, i), []).append((0, a, b))
     out = []
     for (d, i), several in found.items():
         taken: list[tuple[int, int, int]] = []
@@ -241,7 +292,12 @@ def query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, budget: float = BUDGET) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark passage, a pass without a shuffle for each block of the benchmark."""
+    """The rows of ``docs`` that hold no benchmark passage, a pass without a shuffle for each block of the benchmark.
+
+    Null and empty texts hold none and stay; repeated rows and null doc_ids are
+    judged by their text. An empty benchmark keeps all, an empty table gives an
+    empty result.
+    """
     spark = docs.sparkSession
     ship(spark)
     where = [n.lower() for n in docs.columns].index("text")

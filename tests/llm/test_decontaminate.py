@@ -74,6 +74,41 @@ def test_finds_every_passage_within_budget(spark):
     assert sorted(kept) == sorted({d for d, _ in docs if d is not None} - {d for d, _ in want})
 
 
+@pytest.mark.parametrize("pairs", [D.PAIRS, 7])
+def test_against_all_pairs(spark, monkeypatch, pairs):
+    """Every document with every item by the full programme; items share a head, some are copies."""
+    monkeypatch.setattr(D, "PAIRS", pairs)
+    head = text(4)
+    items = [(i, f"{head} {text(8)}") for i in range(5)]
+    items.append((9, items[0][1]))
+    docs = []
+    for i in range(24):
+        item = items[i % 5][1]
+        docs.append((i, f"{text(10)} {edited(item, i // 5 * 2) if i % 4 else head} {text(10)}"))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in D.query(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {(d, i) for d, body in docs for i, item in items if distance_inside(item, body) <= int(len(item) * D.BUDGET)}
+    assert got == want and len(want) > 5
+
+
+def test_short_items_are_found_as_whole_words(spark):
+    items = [(1, "Say  yes"), (2, "é!"), (3, " "), (4, "say yes"), (5, "hello worl")]
+    docs = [(1, "They SAY\n yes."), (2, "They say yes now"), (3, "essay yesterday"), (4, "é!"), (5, "é!!"), (6, None), (7, ""), (8, "say yes"), (9, "hello world")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = D.query(df, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(2, 1), (2, 4), (4, 2), (8, 1), (8, 4)}
+    assert {(r.start, r.end) for r in found if r.doc_id == 2} == {(5, 12)}
+
+
+def test_a_long_text_and_clashing_columns(spark):
+    item = text(20)
+    body = text(60_000) + " " + item + " " + text(60_000)
+    df = spark.createDataFrame([(1, body), (2, text(50))], "doc_id long, text string").selectExpr("text", "doc_id", "1 as item_id", "2 as edits", "3 as start")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in D.query(df, bench).collect()] == [(1, 7)]
+    assert [r.doc_id for r in D.keep_uncontaminated(df, bench).collect()] == [2]
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
