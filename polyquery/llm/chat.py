@@ -8,16 +8,22 @@ as many tasks as it has range partitions.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from polyquery.llm.common import materialise
 
+#: What opens or closes a segment, and what parts a head from its text: neither may come from a text or a name.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 SYSTEM = "system"
 NOBODY = "unknown"
 
 
+def guarded(text: Column) -> Column:
+    """``text`` with one backslash more between each "<" and the "|" behind it, so that it holds no mark; taking one away gives the text back."""
+    return F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|")
+
+
 def perspectives(turns: DataFrame) -> DataFrame:
     """conv_id, perspective, turn, speaker, role, segment, start, train_start, train_end.
 
@@ -27,6 +33,8 @@ def perspectives(turns: DataFrame) -> DataFrame:
     users with their name, system turns stay. ``start`` is the segment's first
     character in the rendering; train_start and train_end bound what a loss
     counts, the participant's own words and end mark, and are null elsewhere.
+    Texts and names are :func:`guarded`, a name's line ends are blanks: neither
+    can end its segment or begin another.
     Repeated rows (equal in conv_id, turn, role and text) are one turn. A null
     or blank role is the speaker ``unknown``, a null text is empty, rows of a
     null conv_id are one dialogue. A dialogue of system turns alone has no
@@ -42,8 +50,8 @@ def perspectives(turns: DataFrame) -> DataFrame:
     each = base.join(cast, base["conv_id"].eqNullSafe(cast["of"])).drop("of")
     role = F.when(F.col("speaker") == F.col("perspective"), F.lit("assistant")).when(F.col("speaker") == SYSTEM, F.lit(SYSTEM)).otherwise(F.lit("user"))
     each = each.withColumn("role", role)
-    head = F.concat(F.lit(OPEN), F.col("role"), F.when(F.col("role") == "user", F.concat(F.lit(" name="), F.col("speaker"))).otherwise(F.lit("")), F.lit("\n"))
-    each = each.withColumn("head", F.length(head)).withColumn("segment", F.concat(head, F.col("text"), F.lit(CLOSE))).withColumn("size", F.length("segment").cast("long"))
+    head = F.concat(F.lit(OPEN), F.col("role"), F.when(F.col("role") == "user", F.concat(F.lit(" name="), F.regexp_replace(guarded(F.col("speaker")), r"[\r\n]", " "))).otherwise(F.lit("")), F.lit("\n"))
+    each = each.withColumn("head", F.length(head)).withColumn("segment", F.concat(head, guarded(F.col("text")), F.lit(CLOSE))).withColumn("size", F.length("segment").cast("long"))
     inside = Window.partitionBy("part", "conv_id", "perspective").orderBy(F.col("turn").asc_nulls_last(), "speaker", "text").rowsBetween(Window.unboundedPreceding, -1)
     placed = each.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     sums = each.groupBy("part", "conv_id", "perspective").agg(F.sum("size").alias("size"))
@@ -61,11 +69,11 @@ def perspectives(turns: DataFrame) -> DataFrame:
 
 
 def query(turns: DataFrame) -> DataFrame:
-    """op10: the renderings' rows, with a digest instead of the text."""
-    return perspectives(turns).select("conv_id", "perspective", "turn", "speaker", "role", "start", "train_start", "train_end", F.md5(F.col("segment").cast("binary")).alias("segment_md5"))
+    """op10: the renderings' rows, with a digest of each segment."""
+    return perspectives(turns).select("conv_id", "perspective", "turn", "speaker", "role", "start", "train_start", "train_end", F.md5(F.col("segment").cast("binary")).alias("segment_md5"), "segment")
 
 
-ORACLE = """
+ORACLE = r"""
 with rows as (
   select distinct conv_id, turn, coalesce(nullif(trim(role), ''), 'unknown') as speaker, coalesce(text, '') as text from conversations
 ), participants as (
@@ -75,9 +83,9 @@ with rows as (
     case when speaker = perspective then 'assistant' when speaker = 'system' then 'system' else 'user' end as role
   from rows r join participants p on r.conv_id is not distinct from p.of_conv
 ), headed as (
-  select *, '<|im_start|>' || role || case when role = 'user' then ' name=' || speaker else '' end || chr(10) as head from each
+  select *, '<|im_start|>' || role || case when role = 'user' then ' name=' || regexp_replace(regexp_replace(speaker, '<(\\*)\|', '<\\\1|', 'g'), '[\r\n]', ' ', 'g') else '' end || chr(10) as head from each
 ), sized as (
-  select *, head || text || '<|im_end|>' || chr(10) as segment from headed
+  select *, head || regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') || '<|im_end|>' || chr(10) as segment from headed
 ), placed as (
   select *, coalesce(sum(length(segment)) over (partition by conv_id, perspective order by turn nulls last, speaker, text
     rows between unbounded preceding and 1 preceding), 0)::bigint as start from sized
@@ -85,6 +93,6 @@ with rows as (
 select conv_id, perspective, turn, speaker, role, start,
   case when role = 'assistant' then start + length(head) end as train_start,
   case when role = 'assistant' then start + length(segment) - 1 end as train_end,
-  md5(segment) as segment_md5
+  md5(segment) as segment_md5, segment
 from placed
 """
