@@ -20,8 +20,14 @@ SLICE_BYTES = 1 << 20
 REPO_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+#: Text that goes to a Python worker at once; Spark's own bound of 64 MB is held several times over in a task.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = "4m"
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package when it isn't installed."""
+    """Let Python workers import this package when it isn't installed, and hand them small batches."""
+    spark.conf.set(BATCH, BATCH_BYTES)
     env = spark.sparkContext.environment
     if REPO_ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (REPO_ROOT, env.get("PYTHONPATH", "")) if x)
@@ -57,12 +63,17 @@ def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return outer
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write ``df`` to the shared folder and read it back; also the folder."""
     spark = df.sparkSession
     path = work_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
+    return written(df, name)[0]
 
 
 def discard(spark: SparkSession, path: str) -> None:

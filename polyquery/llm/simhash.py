@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from polyquery.llm.common import materialise, mix64, ship, texts, trimmed
@@ -275,7 +275,8 @@ def groups(docs: DataFrame, max_bits: int = 4, shingle: int = 4) -> DataFrame:
         return prints.join(distinct.withColumnRenamed("first_id", "component_id"), "fp").select("doc_id", "fp", "component_id")
     roots = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    # written first, so that the join alone can be split where a root has very many fingerprints
+    least = materialise(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "simhash-least")
     named = materialise(rooted.select("fp", "root").join(least, "root").select("fp", "component_id"), "simhash-components")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
@@ -286,12 +287,26 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is its component's least; of rows with one doc_id one stays.
+    """The rows of ``docs`` whose doc_id is its component's least; of rows with one doc_id the one of the least text stays.
 
     ``found`` has doc_id and component_id (default: those of :func:`groups`). Rows
-    without a doc_id can't stand for a group and are all kept.
+    without a doc_id can't stand for a group and are all kept. An empty table
+    gives an empty result.
     """
     found = groups(docs) if found is None else found
     ids = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(ids, docs["doc_id"] == ids["kept_id"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionAll(docs.where(docs["doc_id"].isNull()))
+    kept = docs.join(ids, docs["doc_id"] == ids["kept_id"], "left_semi")
+    again = docs.where(docs["doc_id"].isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("again_id"))
+    without = docs.where(docs["doc_id"].isNull())
+    again = materialise(again, "repeated-ids")
+    if again.isEmpty():
+        return kept.unionAll(without)
+    once = kept.join(again, kept["doc_id"] == again["again_id"], "left_anti")
+    # only rows of a repeated doc_id are compared with each other
+    several = kept.join(again, kept["doc_id"] == again["again_id"], "left_semi")
+    order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first(), F.xxhash64(*[c for c in docs.columns]))
+    place = "place"
+    while place in [c.lower() for c in docs.columns]:
+        place += "_"
+    first = several.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).drop(place)
+    return once.unionAll(first).unionAll(without)

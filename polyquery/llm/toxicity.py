@@ -41,7 +41,8 @@ PRIOR = 2.0
 GOLD = 3
 #: Words that the random field learns from, of whole documents.
 FIT_WORDS = 300_000
-KEPT_WORDS = 300_000
+#: Words that a memory holds before it starts anew.
+KEPT_WORDS = 100_000
 STRIP = ".,;:!?|()[]{}\"'*&%$#-_"
 
 
@@ -67,7 +68,7 @@ class Lexicon:
 
 
 class Lookup(dict):
-    """Words met so far, up to a bound."""
+    """Words met lately, up to a bound."""
 
     def __init__(self, lexicon: Lexicon):
         super().__init__()
@@ -75,8 +76,9 @@ class Lookup(dict):
 
     def __missing__(self, word: str) -> int:
         value = self.lexicon.of(word)
-        if len(self) < KEPT_WORDS:
-            self[word] = value
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        self[word] = value
         return value
 
 

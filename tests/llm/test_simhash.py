@@ -115,3 +115,12 @@ def test_keep_one(spark):
     roots = {c for _, _, c in brute(rows)}
     assert sorted(x for x in kept if x is not None) == sorted(roots)
     assert kept.count(None) == 1
+
+
+def test_keep_one_of_repeated_ids(spark):
+    rows = [(1, "b b b", 1), (1, "a a a", 2), (1, None, 3), (2, "c", 4), (None, "x", 5), (None, "x", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, place int")
+    found = spark.createDataFrame([(1, 1), (2, 2)], "doc_id long, component_id long")
+    assert sorted(r.place for r in simhash.keep_one(df, found).collect()) == [3, 4, 5, 6]
+    assert simhash.keep_one(df, found).columns == df.columns
+    assert sorted(r.place for r in simhash.keep_one(df.where("place > 3"), found).collect()) == [4, 5, 6]
