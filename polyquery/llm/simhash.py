@@ -295,7 +295,8 @@ def keep_one(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """
     found = groups(docs) if found is None else found
     ids = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(ids, docs["doc_id"] == ids["kept_id"], "left_semi")
+    # documents are shuffled at every size, never the ids broadcast: they grow with the input
+    kept = docs.join(ids.hint("merge"), docs["doc_id"] == ids["kept_id"], "left_semi")
     again = docs.where(docs["doc_id"].isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("again_id"))
     without = docs.where(docs["doc_id"].isNull())
     again = materialise(again, "repeated-ids")
