@@ -22,7 +22,7 @@ REPO_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__fi
 
 #: Text that goes to a Python worker at once; Spark's own bound of 64 MB is held several times over in a task.
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
-BATCH_BYTES = "4m"
+BATCH_BYTES = "8m"
 
 
 def ship(spark: SparkSession) -> None:

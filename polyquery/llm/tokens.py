@@ -28,6 +28,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -40,6 +41,8 @@ SEQUENCE = 2048
 SHARD_TEXT = 24 << 20
 PART_IDS = 4 << 20
 ROWS_A_BATCH = 256
+#: Bytes of text that are encoded in one go.
+ENCODE_TEXT = 8 << 20
 #: How a byte-level vocabulary parts text, and what it takes for white space (fixed values).
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A text with any of these is encoded as a whole: white space that isn't one blank or one line feed between other characters.
@@ -48,7 +51,7 @@ ODD_WIDE = tuple(chr(c) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x
 #: Marks that end a word in one part of their own.
 MARKS = ".,!?;:|*&%$#"
 #: Words that a memory holds before it starts anew.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 300_000
 
 
 def _known_characters() -> re.Pattern:
@@ -108,7 +111,11 @@ class Encoder:
     def piece(self, part: str) -> bytes:
         """The ids of one part of a text, straight from the library's merges."""
         mapped = part.replace(" ", self.letters[32]) if part.isascii() and part.lstrip(" ").isalpha() else part.encode("utf-8").decode("latin-1").translate(self.letters)
-        return array(self.code, [t.id for t in self.tok.model.tokenize(mapped)]).tobytes()
+        return self.mapped(mapped)
+
+    def mapped(self, letters: str) -> bytes:
+        """The ids of one part that is written in the vocabulary's letters."""
+        return array(self.code, [t.id for t in self.tok.model.tokenize(letters)]).tobytes()
 
     def word(self, word: str) -> bytes:
         """The ids of a run of other characters, with its lead."""
@@ -140,6 +147,43 @@ class Encoder:
             return True
         return not text.isascii() and (self.unsure.search(text) is not None or any(s in text for s in ODD_WIDE))
 
+    def encode_all(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, ``end_id`` behind each, and how many each has.
+
+        Each different word of the texts is looked up once; ids are put together
+        by its number.
+        """
+        n = len(texts)
+        body = texts.to_pylist()
+        plain = np.array([bool(t) and self.by_words and not self._odd(t) for t in body], bool)
+        sizes = np.zeros(n, np.int64)
+        flat = np.zeros(0, self.dtype)
+        if plain.any():
+            # a word behind a line feed keeps it; none of these texts has a blank beside a line feed
+            parts = pc.split_pattern(pc.replace_substring(texts.filter(pa.array(plain)).cast(pa.large_string()), "\n", " \n"), " ")
+            begin = parts.offsets.to_numpy()
+            coded = parts.values.slice(begin[0], begin[-1] - begin[0]).dictionary_encode()
+            begin = begin - begin[0]
+            first, later, newline = self.first, self.later, self.newline
+            words = coded.dictionary.to_pylist()
+            found = [newline + first[w[1:]] if w[0] == "\n" else later[w] for w in words]
+            which = coded.indices.to_numpy().astype(np.int64)
+            found += [first[words[k]] for k in which[begin[:-1]].tolist()]  # nothing leads a text's own first word
+            which[begin[:-1]] = len(words) + np.arange(len(begin) - 1)
+            long = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+            kind = pa.uint16() if self.dtype.itemsize == 2 else pa.uint32()
+            ids = pa.LargeListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(long)))), pa.Array.from_buffers(kind, int(long.sum()), [None, pa.py_buffer(b"".join(found))]))
+            flat = ids.take(pa.array(which)).flatten().to_numpy()
+            sizes[plain] = np.add.reduceat(long[which], begin[:-1])
+        if not plain.all():
+            rest = {i: np.frombuffer(self.encode(body[i]), self.dtype) for i in np.flatnonzero(~plain).tolist()}
+            at = np.concatenate(([0], np.cumsum(sizes[plain])))
+            turn = np.cumsum(plain) - 1
+            flat = np.concatenate([rest[i] if i in rest else flat[at[turn[i]] : at[turn[i] + 1]] for i in range(n)] or [flat])
+            for i, x in rest.items():
+                sizes[i] = len(x)
+        return np.insert(flat, np.cumsum(sizes), end_id).astype(self.dtype), sizes + 1
+
     def forget(self) -> None:
         """Empty the memories: Python workers outlive their tasks."""
         for memory in (self.known, self.first, self.later):
@@ -159,10 +203,11 @@ class _Words(dict):
     def __init__(self, encoder: Encoder, lead: str):
         super().__init__()
         self.encoder, self.lead = encoder, lead
+        self.letters = "".join(encoder.letters[ord(c)] for c in lead)
 
     def __missing__(self, word: str) -> bytes:
         if word.isalpha():
-            ids = self.encoder.piece(self.lead + word)
+            ids = self.encoder.mapped(self.letters + (word if word.isascii() else word.encode("utf-8").decode("latin-1").translate(self.encoder.letters)))
             if len(self) >= KEPT_WORDS:
                 self.clear()
             self[word] = ids
@@ -180,12 +225,12 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _file(shard: int, part: int, docs: list[int], sizes: list[int], ids: np.ndarray, length: int, end_id: int) -> bytes:
+def _file(shard: int, part: int, docs: list[int | None], sizes: np.ndarray, ids: np.ndarray, length: int, end_id: int) -> bytes:
     """One file's bytes."""
     kind = pa.uint16() if ids.dtype.itemsize == 2 else pa.uint32()
     rows = max(1, -(-len(ids) // length))
     schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length)), ("docs", pa.list_(pa.struct([("doc_id", pa.int64()), ("end", pa.int64())])))], {"format": "pqs1", "shard": str(shard), "part": str(part), "sequence_length": str(length), "end_id": str(end_id)})
-    ends = np.cumsum(np.array(sizes, np.int64))
+    ends = np.cumsum(sizes)
     row_of = np.maximum(ends - 1, 0) // length
     counts = np.bincount(row_of, minlength=rows) if len(ends) else np.zeros(rows, np.int64)
     offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
@@ -222,26 +267,33 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, length: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        end = np.array([end_id], dtype=enc.dtype).tobytes()
-        shard, part, held = TaskContext.get().partitionId(), 0, 0
-        ids: list[bytes] = []
-        names: list[int] = []
+        shard, part = TaskContext.get().partitionId(), 0
+        ids: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
+        names: list[int | None] = []
 
         def flush() -> pa.RecordBatch:
-            flat = np.frombuffer(b"".join(ids), dtype=enc.dtype)
-            body = _file(shard, part, names, [len(x) // enc.dtype.itemsize for x in ids], flat, length, end_id)
+            body = _file(shard, part, names, np.concatenate(sizes), np.concatenate(ids), length, end_id)
             return pa.RecordBatch.from_arrays([pa.array([body], pa.binary())], ["value"])
 
         try:
-            for batch in sliced(batches):
-                for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+            held = 0
+            for batch in sliced(batches, ENCODE_TEXT):
+                flat, size = enc.encode_all(batch.column("text"), end_id)
+                own, ends = batch.column("doc_id").to_pylist(), np.cumsum(size)
+                begin = 0
+                while begin < len(size):  # documents until the file is full
+                    base = ends[begin - 1] if begin else 0
+                    cut = min(len(size), int(np.searchsorted(ends, base + PART_IDS - held)) + 1)
+                    ids.append(flat[base : ends[cut - 1]])
+                    sizes.append(size[begin:cut])
+                    names += own[begin:cut]
+                    held += int(ends[cut - 1] - base)
+                    begin = cut
                     if held >= PART_IDS:
                         yield flush()
-                        part, ids, names, held = part + 1, [], [], 0
-                    ids.append(enc.encode(t.as_py()) + end)
-                    names.append(d)
-                    held += len(ids[-1]) // enc.dtype.itemsize
-            if ids:
+                        part, ids, sizes, names, held = part + 1, [], [], [], 0
+            if names:
                 yield flush()
         finally:
             enc.forget()

@@ -43,6 +43,22 @@ def test_every_character_is_encoded_as_the_library_does():
         assert np.frombuffer(enc.encode(text), enc.dtype).tolist() == want.ids, text
 
 
+def test_all_texts_at_once():
+    enc = tokens.Encoder(PATH)
+    rng = random.Random(9)
+    made = ["".join(rng.choice(["a", "word", " b", " c,", "\n", ". ", "é", "'s", " 12", "漢"]) for _ in range(rng.randrange(30))) for _ in range(400)]
+    for texts in (TEXTS, made, [], [None], ["x"], ["one\ntwo", "  ", "three four"], ["same"] * 3):
+        column = tokens.pa.array(["skipped", *texts], tokens.pa.string()).slice(1)
+        flat, sizes = enc.encode_all(column, 2)
+        want = [[*whole_by(enc, t), 2] for t in texts]
+        assert sizes.tolist() == [len(w) for w in want]
+        assert flat.dtype == enc.dtype and flat.tolist() == [i for w in want for i in w]
+
+
+def whole_by(enc, text):
+    return enc.tok.encode(text or "", add_special_tokens=False).ids
+
+
 def test_memories_start_anew_and_can_be_emptied(monkeypatch):
     monkeypatch.setattr(tokens, "KEPT_WORDS", 3)
     enc = tokens.Encoder(PATH)
