@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from polyquery.llm.common import ship, sliced, text_bytes, texts, trimmed, work_dir
+from polyquery.llm.common import materialise, ship, sliced, text_bytes, texts, trimmed, work_dir
 
 SEQUENCE = 2048
 #: Text that one shard covers, and ids after which a writer starts the shard's next file.
@@ -51,7 +51,7 @@ ODD_WIDE = tuple(chr(c) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x
 #: Marks that end a word in one part of their own.
 MARKS = ".,!?;:|*&%$#"
 #: Words that a memory holds before it starts anew.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 200_000
 
 
 def _known_characters() -> re.Pattern:
@@ -335,19 +335,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 n = len(ends)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, int(meta["shard"]), np.int32)), pa.array(np.full(n, int(meta["part"]), np.int32)), pa.array(np.arange(n, dtype=np.int64)), docs.field("doc_id"), pa.array(ends - starts), pa.array(crc, pa.int64()), pa.array(starts)], ["shard", "part", "place", "doc_id", "n_tokens", "ids_crc32", "before"])
 
-    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for body in batch.column("content"):
-                meta, parts = open_file(body.as_buffer())
-                last = next((d for p in reversed(parts) if len(d := p.column("docs").flatten())), None)
-                out.append((int(meta["shard"]), int(meta["part"]), last[-1].as_py()["end"] if last is not None else 0))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.int64()))], ["shard", "part", "n"])
-
-    files = spark.read.format("binaryFile").load(path).select("content")
-    rows = files.mapInArrow(trimmed(run), schema)
+    # a narrow table, so that files are read once for it and for the totals
+    rows = materialise(spark.read.format("binaryFile").load(path).select("content").mapInArrow(trimmed(run), schema), "token-rows")
     # one row a file: what all files before it hold
-    sums = files.mapInArrow(trimmed(totals), "shard int, part int, n long")
+    sums = rows.groupBy("shard", "part").agg(F.sum("n_tokens").alias("n"))
     ahead = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("shard", "part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
     return rows.join(offsets, ["shard", "part"]).select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", "shard", "part")
