@@ -229,16 +229,16 @@ class Database:
             self.row_count = new.count()
         else:
             match = [F.col(f"old.{k}") == F.col(f"new.{k}") for k in keys]
-            fresh = new.alias("new").join(t.rows.select(*keys).alias("old"), match, "left_anti").dropDuplicates(list(keys))
+            new = self._one(new, keys, first=on_conflict == "nothing")
+            fresh = new.alias("new").join(t.rows.select(*keys).alias("old"), match, "left_anti")
             if on_conflict == "nothing":
                 after, changed = t.rows.unionByName(fresh), fresh
                 self.row_count = fresh.count()
             elif on_conflict == "replace":
-                last = new.dropDuplicates(list(keys))
-                after, changed = t.rows.alias("old").join(last.select(*keys).alias("new"), match, "left_anti").unionByName(last), last
-                self.row_count = last.count()
+                after, changed = t.rows.alias("old").join(new.select(*keys).alias("new"), match, "left_anti").unionByName(new), new
+                self.row_count = new.count()
             elif on_conflict == "update":
-                both = t.rows.alias("old").join(new.dropDuplicates(list(keys)).alias("new"), match, "left")
+                both = t.rows.alias("old").join(new.alias("new"), match, "left")
                 hit = F.col(f"new.{keys[0]}").isNotNull() & F.coalesce(F.expr(where or "true"), F.lit(False))
                 cells = [F.when(hit, F.expr((update or {})[f.name])).otherwise(F.col(f"old.{f.name}")).cast(f.dataType).alias(f.name) if f.name in (update or {}) else F.col(f"old.{f.name}").alias(f.name) for f in t.schema]
                 kept = both.select(*cells, hit.alias("pq_hit"))
@@ -252,6 +252,16 @@ class Database:
             call(changed)
         return changed
 
+    @staticmethod
+    def _one(new: DataFrame, keys: tuple[str, ...] | list[str], first: bool) -> DataFrame:
+        """Of new rows with one key the first or the last; rows with a NULL in the key are all kept."""
+        whole = F.lit(True)
+        for k in keys:
+            whole &= F.col(k).isNotNull()
+        pick = F.min_by if first else F.max_by
+        one = new.where(whole).withColumn("pq_at", F.monotonically_increasing_id()).groupBy(*keys).agg(pick(F.struct(*new.columns), "pq_at").alias("r")).select("r.*")
+        return one.unionByName(new.where(~whole))
+
     def update(self, name: str, set_: dict[str, str], where: str = "true", source: DataFrame | None = None, on: str | None = None) -> DataFrame:
         """UPDATE ... SET ... [FROM source ON ...] WHERE; expressions see the table as ``t`` and the source as ``s``."""
         t = self.tables[name]
@@ -296,25 +306,40 @@ class Database:
         self._fire(t, "after_delete", gone)
         return gone
 
-    def merge(self, name: str, source: DataFrame, on: str, matched: dict[str, str] | None = None, not_matched: dict[str, str] | None = None, delete_when: str | None = None) -> None:
-        """MERGE: update matched rows, insert others; the table is ``t``, the source ``s``."""
+    def merge(self, name: str, source: DataFrame, on: str, matched: dict[str, str] | None = None, not_matched: dict[str, str] | None = None, delete_when: str | None = None, matched_when: str | None = None, not_matched_when: str | None = None) -> None:
+        """MERGE: update matched rows, delete those of ``delete_when``, insert others; the table is ``t``, the source ``s``.
+
+        ``matched_when`` and ``not_matched_when`` are the branches' own conditions.
+        Several source rows that would change one row are an error.
+        """
         t = self.tables[name]
-        old = t.rows.withColumn("pq_old", F.lit(True)).alias("t")
+        old = t.rows.withColumn("pq_old", F.monotonically_increasing_id()).alias("t")
         new = source.withColumn("pq_new", F.lit(True)).alias("s")
         both = old.join(new, F.expr(on), "full_outer")
         is_old, is_new = F.col("t.pq_old").isNotNull(), F.col("s.pq_new").isNotNull()
+        holds = lambda text: F.coalesce(F.expr(text), F.lit(False)) if text else F.lit(True)
+        change = is_old & is_new & holds(matched_when) if matched else F.lit(False)
+        gone = is_old & is_new & holds(delete_when) if delete_when else F.lit(False)
+        made = ~is_old & is_new & holds(not_matched_when) if not_matched else F.lit(False)
+        if (matched or delete_when) and not both.where(change | gone).groupBy("t.pq_old").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+            raise ConstraintError(f"several source rows change one row of {name}")
         cells = []
         for f in t.schema:
             cell = F.col(f"t.{f.name}")
             if matched and f.name in matched:
-                cell = F.when(is_old & is_new, F.expr(matched[f.name])).otherwise(cell)
+                cell = F.when(change, F.expr(matched[f.name])).otherwise(cell)
             if not_matched:
-                cell = F.when(~is_old, F.expr(not_matched.get(f.name, t.defaults.get(f.name, "null")))).otherwise(cell)
+                cell = F.when(made, F.expr(not_matched.get(f.name, t.defaults.get(f.name, "null")))).otherwise(cell)
             cells.append(cell.cast(f.dataType).alias(f.name))
-        keep = is_old if not not_matched else is_old | is_new
-        if delete_when:
-            keep &= ~(is_old & is_new & F.coalesce(F.expr(delete_when), F.lit(False)))
-        self._take(name, both.where(keep).select(*cells))
+        # source rows that change nothing must not repeat the row that they match
+        idle = is_old & is_new & ~change & ~gone
+        kept = both.where((is_old & ~is_new & ~gone) | (change & ~gone) | made).select(*cells)
+        if matched_when or not matched:
+            touched = both.where(change | gone).select(F.col("t.pq_old").alias("pq_touched")).distinct()
+            rows = both.where(idle).dropDuplicates(["pq_old"]).join(touched, F.col("t.pq_old") == F.col("pq_touched"), "left_anti")
+            kept = kept.unionByName(rows.select(*[F.col(f"t.{f.name}").alias(f.name) for f in t.schema]))
+        self.row_count = both.where(change | gone | made).count()
+        self._take(name, kept)
 
     # rules
 

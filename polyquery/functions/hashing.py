@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from polyquery.functions.registry import FunctionCatalog
+from polyquery.functions.registry import FunctionCatalog, Unsupported
+
+
+def _refused(args, rules):
+    raise Unsupported("encryption that only its own server can do")
 
 _UUID = "'^[0-9a-fA-F]{8}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{12}$'".replace("{", "{{").replace("}", "}}")
 
@@ -37,7 +41,5 @@ def define(c: FunctionCatalog) -> None:
     c.add("UUID_TO_BIN CHAR_TO_UUID", "unhex(replace({0}, '-', ''))")
     c.add("BIN_TO_UUID UUID_TO_CHAR", lambda a, r: _hyphens(a[0]))
     c.add("STANDARD_HASH CRYPT_HASH HASHBYTES", lambda a, r: "upper(" + {"MD5": "md5({})", "SHA1": "sha1({})", "SHA256": "sha2({}, 256)", "SHA384": "sha2({}, 384)", "SHA512": "sha2({}, 512)"}[(a[1] if len(a) > 1 else "'SHA1'").strip().strip("'").upper()].format(a[0]) + ")")
-    c.add("DES_ENCRYPT ENCODE ENCRYPT PWDENCRYPT CERTENCODED CERTPRIVATEKEY", "pq_bytes('mask', cast(concat({0}, coalesce({1:''}, '')) as binary))")
-    c.add("DES_DECRYPT", "null")
-    c.add("PWDCOMPARE", "cast(pq_bytes('mask', cast({0} as binary)) = {1} as int)")
+    c.add("DES_ENCRYPT DES_DECRYPT ENCODE ENCRYPT PWDENCRYPT PWDCOMPARE CERTENCODED CERTPRIVATEKEY", _refused)
     c.add("KDF", "unhex(sha2(concat({0}, {1}), 256))")

@@ -226,3 +226,19 @@ def transaction_text(load, spark):
     c = _connection(load, spark, "mysql", "region")
     c.execute("BEGIN; DELETE FROM pq_region WHERE r_regionkey >= 3; SAVEPOINT s; DELETE FROM pq_region; ROLLBACK TO SAVEPOINT s; INSERT INTO pq_region VALUES (9, 'NINE'); COMMIT")
     return c.query("SELECT COUNT(*) AS n FROM pq_region")
+
+
+@frame("merge_predicates", "select n_nationkey, case when n_nationkey < 5 then 'M' || n_nationkey else n_name end as n_name from nation where n_nationkey < 5 or n_nationkey >= 8 union all select n_nationkey + 100, 'M' || n_nationkey from nation where n_nationkey >= 2 and n_nationkey < 4")
+def merge_predicates(load, spark):
+    c = _connection(load, spark, "sqlserver", "nation")
+    c.execute("MERGE INTO pq_nation AS t USING (SELECT n_nationkey AS k, CONCAT('M', n_nationkey) AS m FROM pq_nation WHERE n_nationkey < 8 UNION ALL SELECT n_nationkey + 100, CONCAT('M', n_nationkey) FROM pq_nation WHERE n_nationkey < 4) AS s ON t.n_nationkey = s.k WHEN MATCHED AND s.k < 5 THEN UPDATE SET n_name = s.m WHEN MATCHED AND s.k >= 3 THEN DELETE WHEN NOT MATCHED AND s.k > 101 THEN INSERT (n_nationkey, n_name) VALUES (s.k, s.m)")
+    return c.query("SELECT n_nationkey, n_name FROM pq_nation")
+
+
+@frame("upsert_repeated_keys", "select r_regionkey, case r_regionkey when 1 then 'last' else r_name end as r_name from region union all select 9, 'second'")
+def upsert_repeated_keys(load, spark):
+    db = Database(spark)
+    db.create_as("pq_region", load("region"))
+    rows = [(1, "early"), (9, "first"), (1, "last"), (9, "second")]
+    db.insert("pq_region", rows, on_conflict="update", update={"r_name": "new.r_name"}, keys=("r_regionkey",))
+    return db.rows("pq_region")

@@ -22,3 +22,5 @@ sql("dialect_stddev_population", "SELECT ROUND(STD(c_acctbal), 4) AS s FROM cust
 sql("dialect_count_type", "SELECT COUNT(*) AS n FROM nation", "select count(*)::int as n from nation", "sqlserver")
 sql("dialect_auto", "SELECT TOP 3 o_orderkey, IFNULL(o_orderstatus, 'x') AS s FROM orders ORDER BY o_orderkey", "select o_orderkey, o_orderstatus as s from orders order by o_orderkey limit 3", "auto")
 sql("dialect_found_rows", "SELECT SQL_CALC_FOUND_ROWS o_orderkey FROM orders ORDER BY o_orderkey LIMIT 3", "select o_orderkey from orders order by o_orderkey limit 3", "mysql")
+sql("dialect_text_in_ignores_case", "SELECT n_nationkey FROM nation WHERE n_name IN ('nation_1', 'NATION_3', 'Nation_5') AND n_name <> 'nation_5'", "select n_nationkey from nation where lower(n_name) in ('nation_1', 'nation_3')", "mysql")
+sql("dialect_text_not_in_ignores_case", "SELECT n_nationkey FROM nation WHERE n_name NOT IN ('nation_1', 'NATION_3')", "select n_nationkey from nation where lower(n_name) not in ('nation_1', 'nation_3')", "mysql")

@@ -41,7 +41,7 @@ sql("join_three_way", "select r_name, count(*) as n from customer join nation on
 sql("join_left", "select c_custkey, count(o_orderkey) as n from customer left join orders on c_custkey = o_custkey and o_totalprice > 250000 group by c_custkey")
 sql("join_right", "select n_name, count(s_suppkey) as n from supplier right join nation on s_nationkey = n_nationkey group by n_name")
 sql("join_full", "select coalesce(a.k, b.k) as k, a.n as n_c, b.n as n_s from (select c_nationkey as k, count(*) as n from customer where c_acctbal > 9000 group by c_nationkey) a full join (select s_nationkey as k, count(*) as n from supplier where s_acctbal > 5000 group by s_nationkey) b on a.k = b.k")
-sql("join_cross", "select r_name, n_name from region cross join nation where n_nationkey < 3")
+sql("join_cross", "select r_name, n_name from region cross join nation")
 sql("join_comma", "select r_name, n_name from region, nation where n_regionkey = r_regionkey")
 sql("join_theta", "select a.n_nationkey as a, b.n_nationkey as b from nation a join nation b on a.n_nationkey < b.n_nationkey and a.n_regionkey <> b.n_regionkey")
 sql("join_self", "select a.s_suppkey as a, b.s_suppkey as b from supplier a join supplier b on a.s_nationkey = b.s_nationkey and a.s_suppkey < b.s_suppkey")
@@ -59,3 +59,4 @@ sql("order_nulls", "select k, row_number() over (order by k desc nulls first, n)
 sql("order_ordinal_limit", "select c_name, c_acctbal from customer order by 2 desc, 1 limit 7")
 sql("limit_offset", "select o_orderkey from orders order by o_totalprice desc, o_orderkey limit 10 offset 25")
 sql("top_k_per_group", "select c_nationkey, c_custkey, c_acctbal from (select *, row_number() over (partition by c_nationkey order by c_acctbal desc, c_custkey) as rn from customer) t where rn <= 3")
+sql("distinct_on_limit", "select distinct on (o_custkey) o_custkey, o_orderkey from orders order by o_custkey, o_totalprice desc, o_orderkey limit 5", dialect="postgres")

@@ -24,3 +24,4 @@ sql("sub_equal_any", "select n_name from nation where n_nationkey = any (select
 sql("sub_unequal_all", "select n_name from nation where n_nationkey <> all (select s_nationkey from supplier where s_acctbal > 8000)", "select n_name from nation where n_nationkey not in (select s_nationkey from supplier where s_acctbal > 8000)", "postgres")
 sql("sub_all_null", "select count(*) as n from nation where n_nationkey > all (select nullif(s_suppkey, 1) - 100000 from supplier)", "select 0::bigint as n", "postgres")
 sql("sub_less_any", "select c_custkey from customer where c_acctbal < any (select s_acctbal from supplier where s_nationkey = 9)", "select c_custkey from customer where c_acctbal < (select max(s_acctbal) from supplier where s_nationkey = 9)", "postgres")
+sql("sub_any_expression", "select n_nationkey from nation where n_regionkey = 1 or 2 * n_nationkey + 1 = any (select s_nationkey from supplier where s_acctbal > 5000)", "select n_nationkey from nation where n_regionkey = 1 or 2 * n_nationkey + 1 in (select s_nationkey from supplier where s_acctbal > 5000)", "postgres")
