@@ -23,19 +23,14 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     now, path = written(clean.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
     mark = None
     for _ in range(most_rounds):
-        # sums are written before they are joined back: the join alone can then be split where a node has very many neighbours
-        made = [path]
+        last = path
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least, path = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "stars")
-        made.append(path)
-        large, path = written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "stars")
-        made.append(path)
-        down, path = written(large.groupBy("u").agg(F.min("v").alias("m")), "stars")
-        made.append(path)
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         now, path = written(small, "stars")
-        for folder in made:
-            discard(spark, folder)
+        discard(spark, last)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if tuple(seen) == mark:
             break

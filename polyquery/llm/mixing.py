@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polyquery.llm.common import materialise, ship, sliced, texts, trimmed, utf8
+from polyquery.llm.common import materialise, release, ship, sliced, texts, trimmed, utf8
 from polyquery.llm.labelled import FIT_CHARACTERS, within
 from polyquery.llm.lines import SIZES, Lines, hashed, observe
 
@@ -169,7 +169,10 @@ def learn(docs: DataFrame, domains: DataFrame, count: int, each: int = FIT_EACH,
     ids = domains.where(F.pmod(F.xxhash64("doc_id"), F.lit(spread)) < under)
     # about ``each`` rows a domain: small enough to send to every task
     rows = within(docs, ids.withColumnRenamed("domain", "label"), characters)
-    return fit([(text, d) for _, text, d in sorted(rows, key=lambda r: (r[0] * 2654435761 % (1 << 32), r[0], r[1]))], count)
+    try:
+        return fit([(text, d) for _, text, d in sorted(rows, key=lambda r: (r[0] * 2654435761 % (1 << 32), r[0], r[1]))], count)
+    finally:
+        release()  # the driver's own memory
 
 
 def posteriors(docs: DataFrame, model: Model, names: tuple[str, ...] = DOMAINS) -> DataFrame:

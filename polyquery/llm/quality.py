@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polyquery.llm.common import ship, sliced, texts, trimmed, utf8
+from polyquery.llm.common import release, ship, sliced, texts, trimmed, utf8
 from polyquery.llm.crf import Crf, logistic, probability, shifted
 from polyquery.llm.labelled import FIT_DOCUMENTS, held_out, sample
 from polyquery.llm.lines import CODES, SIZES, Lines, observe, observe_all
@@ -95,7 +95,10 @@ def fit(rows: list[tuple[str, int]]) -> Model:
 
 
 def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, bound: int = FIT_DOCUMENTS) -> Model:
-    return fit(sample(docs, labels, "quality", folds, fold, bound))
+    try:
+        return fit(sample(docs, labels, "quality", folds, fold, bound))
+    finally:
+        release()  # the driver's own memory
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polyquery.llm.common import ship, sliced, texts, trimmed
+from polyquery.llm.common import release, ship, sliced, texts, trimmed
 from polyquery.llm.crf import Crf, logistic, probability, shifted
 from polyquery.llm.labelled import FIT_DOCUMENTS, held_out, sample
 
@@ -228,7 +228,10 @@ def _spans(raw: str, low: str, words: list[str], hot: set[int]) -> list[dict[str
 
 
 def learn(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, bound: int = FIT_DOCUMENTS) -> Model:
-    return fit(sample(docs, labels, "toxic", folds, fold, bound))
+    try:
+        return fit(sample(docs, labels, "toxic", folds, fold, bound))
+    finally:
+        release()  # the driver's own memory
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
