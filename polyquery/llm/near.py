@@ -1,23 +1,34 @@
-"""Near-duplicates by the Jaccard similarity of five-word shingles.
-
-1. Every text becomes its set of shingle hashes. Equal sets are linked by a
-   128-bit hash of the set, so any number of copies costs one row each from here.
-2. Of the different sets, ``BANDS`` bands of ``ROWS`` least hashes each give
-   buckets. Two sets of similarity s meet in a bucket but for a chance of
-   (1 - s**ROWS)**BANDS: 3 in a million at 0.8, less above.
-3. Buckets that begin with the same document, or with one that another bucket
-   ties to the same, are one pool, so most documents are in one. A pool of many
-   or long sets is dealt into blocks by a hash; its first document is in each.
-4. In a block all pairs that nothing connects yet are compared by their whole
+"""Near-duplicates by the Jaccard similarity of five-word shingles, found by SimHash.
+
+1. Every text becomes its set of shingle hashes and their SimHash of ``BANDS * RUN``
+   bits. Equal sets are linked by a 128-bit hash of the set, so any number of copies
+   costs one row each from here.
+2. Of the different sets, each of ``BANDS`` runs of ``RUN`` bits is a key, as op3's
+   runs are. Two bits of sets of similarity 0.8 differ with a chance p of 0.151
+   (arccos(2 s / (1 + s)) / pi), so the sets share no key once in a million pairs,
+   (1 - (1 - p)**RUN)**BANDS.
+3. Within a key op3's Gray-order tree connects the fingerprints, the first ``WORDS``
+   words, that differ in at most ``FIRST_BITS`` bits of the first word and
+   ``WHOLE_BITS`` of all: at 0.8 all but 2 and 0.4 pairs in ten million do, of
+   unlike texts 2 in a hundred million. What is connected within a key is a group.
+   A key of more than ``HOLD`` rows is one group whole.
+4. Groups that share documents are one pool, so a document is in one: each document
+   ties its groups to its least one, and the ties' components, as in op3, are the
+   pools. A pool of many or long sets is dealt into blocks by a hash; its first
+   document is in each.
+5. In a block all pairs that nothing connects yet are compared by their whole
    sets; only a similarity of ``LEAST`` or more links.
-5. In pools of several blocks, the documents that are not connected with the first
+6. In pools of several blocks, the documents that are not connected with the first
    one are compared with all others as well, block by block; pairs that are
    connected by then are left out. A pool of copies so costs what its rows cost.
-6. Components as in op3.
+7. Components as in op3.
 
-SimHash itself can't give this: two texts of similarity 0.8 differ in 10 of 64
-bits on average and often in 15, where any two texts differ in 32 +- 4, so that
-no key on agreeing bits finds all such pairs and leaves out most others.
+The bits of two sets differ by p only about where the sets are small. Of sets of
+0.8 or more that differ the worst are 4 shingles in 5, with 0.1875: 4 in ten
+thousand such pairs are missed. All figures of 2. and 3. are by calculation.
+
+op3's 64 bits and 4 differing ones find few such pairs: at 0.8 two texts differ in
+10 of 64 bits on average, so the fingerprint is longer and the keys are more.
 """
 
 from __future__ import annotations
@@ -32,17 +43,21 @@ from pyspark.sql import functions as F
 
 from polyquery.llm.common import materialise, mix64, ship, sliced, texts, trimmed
 from polyquery.llm.components import components
+from polyquery.llm.simhash import GrayTree, signatures
 
 SHINGLE = 5
 LEAST = 0.8
-BANDS, ROWS = 32, 5
+#: Keys of a set and the bits of each.
+BANDS, RUN = 92, 12
+#: Words of 64 bits of a SimHash that hold all keys, and those that are compared within a key.
+ALL_WORDS, WORDS = -(-BANDS * RUN // 64), 3
+FINGERPRINT = [f"f{w}" for w in range(WORDS)]
+#: Most differing bits of the first word and of all words compared.
+FIRST_BITS, WHOLE_BITS = 26, 58
 #: Shingle hashes of a block; a set counts as BLOCK / 512 of them at least, so a block has 512 members at most.
 BLOCK = 1 << 21
 #: Rows of buckets that a task holds at once.
 HOLD = 1 << 17
-_RANDOM = np.random.Generator(np.random.PCG64(20))
-_SALT = _RANDOM.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64)
-_TIMES = _RANDOM.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -61,29 +76,38 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((digest(line[a:b]) for a, b in zip(starts.tolist(), ends.tolist())), dtype=np.uint64, count=len(starts)))
 
 
+def _key(prints: np.ndarray, band: int) -> np.ndarray:
+    """The keys of one band of SimHashes of ALL_WORDS words each."""
+    word, bit = divmod(band * RUN, 64)
+    run = prints[:, word] >> np.uint64(bit)
+    if bit + RUN > 64:
+        run = run | prints[:, word + 1] << np.uint64(64 - bit)
+    return mix64((run & np.uint64((1 << RUN) - 1)) + np.uint64((band + 1) << 32))
+
+
 def buckets(found: np.ndarray) -> np.ndarray:
-    """One hash for each band of a set that isn't empty."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(found), 256):
-        np.minimum(least, ((found[k : k + 256] ^ _SALT) * _TIMES).min(axis=1), out=least)
-    out = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for column in least.reshape(BANDS, ROWS).T:
-        out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + column)
-    return out
+    """The key of each band of a set that isn't empty."""
+    prints = signatures(found, np.array([0, len(found)]), ALL_WORDS)
+    return np.concatenate([_key(prints, k) for k in range(BANDS)])
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sliced(batches):
-        hi, lo, n, bands = [], [], [], []
-        for text in batch.column("text"):
-            found = shingles(text.as_py())
-            whole = np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), np.int64)
-            hi.append(whole[0])
-            lo.append(whole[1])
-            n.append(len(found))
-            bands.append(buckets(found).view(np.int64) if len(found) else np.zeros(0, np.int64))
-        columns = [pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(n, pa.int32()), pa.array(bands, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "hi", "lo", "n", "bands"])
+        found = [shingles(text.as_py()) for text in batch.column("text")]
+        whole = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in found), np.int64).reshape(-1, 2)
+        n = np.array([len(x) for x in found], np.int64)
+        prints = signatures(np.concatenate(found), np.concatenate(([0], np.cumsum(n))), ALL_WORDS)
+        columns = [pa.array(whole[:, 0]), pa.array(whole[:, 1]), pa.array(n.astype(np.int32)), pa.array([x.tobytes() for x in prints], pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "hi", "lo", "n", "print"])
+
+
+def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, n, print) to one row for each band."""
+    for batch in batches:
+        prints = np.frombuffer(b"".join(batch.column("print").to_pylist()), np.uint64).reshape(-1, ALL_WORDS)
+        compared = [pa.array(prints[:, w].view(np.int64)) for w in range(WORDS)]
+        for k in range(BANDS):
+            yield pa.RecordBatch.from_arrays([pa.array(_key(prints, k).view(np.int64)), batch.column("doc_id"), batch.column("n"), *compared], ["bucket", "doc_id", "n", *FINGERPRINT])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,41 +117,47 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _members(hold: int):
-    """Rows (bucket, doc_id, n) sorted by bucket to (grp, doc_id, n) of the buckets of several documents.
+    """Rows (bucket, doc_id, n, fingerprint) sorted by bucket and doc_id to (rep, doc_id, n) of what the tree connects within a bucket.
 
-    A group is named by a hash of its members, so equal buckets are one; a bucket
-    of more than ``hold`` rows keeps its own name and goes out in pieces. Should
-    two names be equal, their groups are joined, which only adds comparisons.
+    What is connected is named by its least document. A bucket of more than
+    ``hold`` rows is one group whole and goes out in pieces.
     """
 
-    def flush(bucket: np.ndarray, ids: np.ndarray, n: np.ndarray, whole: np.uint64 | None) -> pa.RecordBatch:
-        start = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-        size = np.diff(np.append(start, len(bucket)))
-        name = mix64(np.bitwise_xor.reduceat(mix64(ids.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)), start))
-        several = np.minimum.reduceat(ids, start) != np.maximum.reduceat(ids, start)
-        if whole is not None:
-            own = bucket[start] == whole
-            name[own], several[own] = whole, True
-        use = np.repeat(several, size)
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(name, size)[use].view(np.int64)), pa.array(ids[use]), pa.array(n[use])], ["grp", "doc_id", "n"])
+    def flush(bucket: np.ndarray, ids: np.ndarray, n: np.ndarray, fps: np.ndarray, whole: np.uint64 | None, lead: int) -> pa.RecordBatch:
+        hot = np.zeros(len(bucket), bool) if whole is None else bucket == whole
+        rest = np.flatnonzero(~hot)
+        rep, use = np.full(len(bucket), lead, np.int64), hot
+        if len(rest):
+            tree = GrayTree(bucket[rest], fps[rest, 0], fps[rest, 1:])
+            label = tree.labels(FIRST_BITS, WHOLE_BITS)
+            order = np.argsort(label, kind="stable")
+            label, rest = label[order], rest[tree.order[order]]
+            start = np.flatnonzero(np.concatenate(([True], label[1:] != label[:-1])))
+            size = np.diff(np.append(start, len(rest)))
+            least = np.minimum.reduceat(ids[rest], start)
+            rep[rest] = np.repeat(least, size)
+            use[rest] = np.repeat(least != np.maximum.reduceat(ids[rest], start), size)
+        return pa.RecordBatch.from_arrays([pa.array(rep[use]), pa.array(ids[use]), pa.array(n[use])], ["rep", "doc_id", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
-        count, whole = 0, None
+        count, whole, lead = 0, None, 0
         for batch in batches:
-            bucket, ids, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "doc_id", "n"))
-            held.append([bucket.view(np.uint64), ids, n])
+            bucket, ids, n, *fps = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "doc_id", "n", *FINGERPRINT))
+            held.append([bucket.view(np.uint64), ids, n, np.stack(fps, axis=1).view(np.uint64)])
             count += batch.num_rows
             if count < hold:
                 continue
             rows = [np.concatenate(x) for x in zip(*held)]
             cut = int(np.flatnonzero(np.concatenate(([True], rows[0][1:] != rows[0][:-1])))[-1])
             if not cut:
-                cut, whole = count, rows[0][0]
-            yield flush(*(x[:cut] for x in rows), whole)
+                cut = count
+                if whole is None or whole != rows[0][0]:
+                    whole, lead = rows[0][0], rows[1][0]
+            yield flush(*(x[:cut] for x in rows), whole, lead)
             held, count = [[x[cut:] for x in rows]], count - cut
         if count:
-            yield flush(*(np.concatenate(x) for x in zip(*held)), whole)
+            yield flush(*(np.concatenate(x) for x in zip(*held)), whole, lead)
 
     return run
 
@@ -194,12 +224,15 @@ def _place(salt: int, most: Column) -> Column:
 
 
 def pools(members: DataFrame) -> DataFrame:
-    """(pool, doc_id, n) of the groups ``members`` (grp, doc_id, n): a group goes to the least first document that its own first document meets."""
+    """(pool, doc_id, n) of the groups ``members`` (rep, doc_id, n): groups that share documents are one pool, so a document is in one."""
     # sums are written before they are joined back: the join alone can then be split where a group is very large
-    reps = materialise(members.groupBy("grp").agg(F.min("doc_id").alias("rep")), "near-reps")
-    rows = members.join(reps.hint("merge"), "grp")
-    tied = materialise(rows.groupBy("doc_id").agg(F.min("rep").alias("pool")), "near-tied").withColumnRenamed("doc_id", "rep")
-    return rows.join(tied.hint("merge"), "rep").groupBy("pool", "doc_id").agg(F.max("n").alias("n"))
+    tied = materialise(members.groupBy("doc_id").agg(F.min("rep").alias("tie"), F.max("n").alias("n")), "near-tied")
+    # each document ties its groups to its least one; only names of groups go through the rounds
+    ties = materialise(members.select("doc_id", "rep").join(tied.select("doc_id", "tie").hint("merge"), "doc_id").select(F.col("rep").alias("u"), F.col("tie").alias("v")).distinct(), "near-ties")
+    if ties.where("u <> v").isEmpty():
+        return tied.select(F.col("tie").alias("pool"), "doc_id", "n")
+    roots = materialise(components(ties), "near-roots").select(F.col("node").alias("tie"), F.col("root").alias("pool"))
+    return tied.join(roots.hint("merge"), "tie").select("pool", "doc_id", "n")
 
 
 def groups(docs: DataFrame, block: int = BLOCK, hold: int = HOLD) -> DataFrame:
@@ -213,14 +246,15 @@ def groups(docs: DataFrame, block: int = BLOCK, hold: int = HOLD) -> DataFrame:
     ship(spark)
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     own = texts(docs).where("doc_id is not null")
-    sketch = materialise(own.mapInArrow(trimmed(_sketch), "doc_id long, hi long, lo long, n int, bands array<long>"), "near-sketch")
+    sketch = materialise(own.mapInArrow(trimmed(_sketch), "doc_id long, hi long, lo long, n int, print binary"), "near-sketch")
     # one row for each different set; written before it is joined back, so that copies of one text can be split
-    firsts = materialise(sketch.groupBy("hi", "lo").agg(F.min("doc_id").alias("first_id"), F.min_by("n", "doc_id").alias("n"), F.min_by("bands", "doc_id").alias("bands")), "near-firsts")
+    firsts = materialise(sketch.groupBy("hi", "lo").agg(F.min("doc_id").alias("first_id"), F.min_by("n", "doc_id").alias("n"), F.min_by("print", "doc_id").alias("print")), "near-firsts")
     named = materialise(sketch.select("doc_id", "hi", "lo").join(firsts.select("hi", "lo", "first_id").hint("merge"), ["hi", "lo"]).select("doc_id", "first_id").distinct(), "near-copies")
     copies = named.where("doc_id <> first_id").select(F.col("doc_id").alias("u"), F.col("first_id").alias("v"))
-    rows = firsts.select(F.explode("bands").alias("bucket"), F.col("first_id").alias("doc_id"), "n")
-    members = rows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(_members(hold)), "grp long, doc_id long, n int")
-    members = materialise(members.groupBy("grp", "doc_id").agg(F.max("n").alias("n")), "near-members")
+    schema = ", ".join(["bucket long, doc_id long, n int", *(f"{c} long" for c in FINGERPRINT)])
+    rows = firsts.where("n > 0").select(F.col("first_id").alias("doc_id"), "n", "print").mapInArrow(trimmed(_deal), schema)
+    members = rows.repartition(n, "bucket").sortWithinPartitions("bucket", "doc_id").mapInArrow(trimmed(_members(hold)), "rep long, doc_id long, n int")
+    members = materialise(members.groupBy("rep", "doc_id").agg(F.max("n").alias("n")), "near-members")
     weight = F.greatest(F.col("n"), F.lit(max(1, block // 512))).cast("long")
     pooled = materialise(pools(members), "near-pools")
     sizes = materialise(pooled.groupBy("pool").agg(_blocks(weight, block).alias("most"), F.min("doc_id").alias("first")), "near-sizes")

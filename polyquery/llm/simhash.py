@@ -81,6 +81,33 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame
     return texts(docs).mapInArrow(trimmed(run), "doc_id long, fp long")
 
 
+def signatures(hashes: np.ndarray, at: np.ndarray, words: int) -> np.ndarray:
+    """SimHashes of ``64 * words`` bits of several runs of hashes: run i is ``hashes[at[i] : at[i + 1]]``.
+
+    Word w has the bits that are set in over half of the run's hashes, each mixed
+    with the w-th salt. A run without hashes has no bits.
+    """
+    n = np.diff(at)
+    out = np.zeros((len(n), words), np.uint64)
+    used = np.flatnonzero(n)
+    if not len(used):
+        return out
+    # 255 hashes at most are counted together: eight counters of a byte in each sum
+    pieces = -(-n[used] // 255)
+    first = np.cumsum(pieces) - pieces
+    start = np.repeat(at[used], pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(first, pieces))
+    ones = np.uint64(0x0101010101010101)
+    salt = mix64(np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    for w in range(words):
+        mixed = mix64(hashes ^ salt[w])
+        for j in range(8):
+            sums = np.add.reduceat((mixed >> np.uint64(j)) & ones, start)
+            counts = np.add.reduceat(sums.view(np.uint8).reshape(-1, 8).astype(np.int64), first, axis=0)
+            # bit j of byte b comes to bit b of byte j: any order of the bits does
+            out[used, w] |= np.packbits(2 * counts > n[used, None], axis=1, bitorder="little").ravel().astype(np.uint64) << np.uint64(8 * j)
+    return out
+
+
 def gray_rank(fps: np.ndarray) -> np.ndarray:
     """The place of each bit pattern in the reflected Gray sequence."""
     rank = fps.copy()
@@ -106,11 +133,15 @@ def _connect(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 
 class GrayTree:
-    """The hierarchical index of fingerprints sorted by (key, Gray rank)."""
+    """The hierarchical index of fingerprints sorted by (key, Gray rank).
 
-    def __init__(self, key: np.ndarray, fps: np.ndarray):
-        order = np.lexsort((gray_rank(fps), key))
+    ``more`` (one row of further words for each fingerprint) makes them longer; the tree is over the first word.
+    """
+
+    def __init__(self, key: np.ndarray, fps: np.ndarray, more: np.ndarray | None = None):
+        self.order = order = np.lexsort((gray_rank(fps), key))
         self.key, self.fps = key[order], fps[order]
+        self.more = None if more is None else more[order]
         self.levels: list[dict[str, np.ndarray]] = []
         owner, low, high = self.key, self.fps, self.fps
         while len(owner):
@@ -131,12 +162,29 @@ class GrayTree:
 
     def forest(self, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
         """Fewest links (fp, fp) that connect what distances of max_bits or less connect within each key."""
+        label = self.labels(max_bits)
+        other = np.flatnonzero(label != np.arange(len(label)))
+        return self.fps[other], self.fps[label[other]]
+
+    def _whole(self, x: np.ndarray, y: np.ndarray, whole_bits: int | None) -> np.ndarray:
+        """Of pairs whose first words are near: all words are."""
+        if self.more is None:
+            return np.ones(len(x), bool)
+        bits = np.bitwise_count(self.fps[x] ^ self.fps[y]).astype(np.int64) + np.bitwise_count(self.more[x] ^ self.more[y]).sum(axis=1, dtype=np.int64)
+        return bits <= whole_bits
+
+    def labels(self, max_bits: int, whole_bits: int | None = None) -> np.ndarray:
+        """For each place in the order, the least place that distances connect it with within its key.
+
+        Distances of max_bits or less of the first word, with ``more`` also of whole_bits or less of all words.
+        """
         n = len(self.fps)
         label = np.arange(n)
         if n < 2:
-            return self.fps[:0], self.fps[:0]
+            return label
         near = (self.key[1:] == self.key[:-1]) & (np.bitwise_count(self.fps[1:] ^ self.fps[:-1]) <= max_bits)
         left = np.flatnonzero(near)
+        left = left[self._whole(left, left + 1, whole_bits)]
         _connect(label, left, left + 1)
         top = len(self.levels) - 1
         stack: list[tuple[int, np.ndarray, np.ndarray]] = []
@@ -173,21 +221,24 @@ class GrayTree:
                 half = len(a) // 2
                 stack += [(h, a[:half], b[:half]), (h, a[half:], b[half:])]
                 continue
+            if not h:
+                # a node's places, its last one repeated where it has fewer
+                x = np.minimum(node["start"][a][:, None] + np.arange(FAN), node["end"][a][:, None] - 1)
+                y = np.minimum(node["start"][b][:, None] + np.arange(FAN), node["end"][b][:, None] - 1)
+                hit = np.flatnonzero(np.bitwise_count(self.fps[x][:, :, None] ^ self.fps[y][:, None, :]) <= max_bits)
+                x, y = x.ravel()[hit // FAN], y.ravel()[hit // FAN**2 * FAN + hit % FAN]
+                use = label[x] != label[y]
+                x, y = x[use], y[use]
+                use = self._whole(x, y, whole_bits)
+                _connect(label, x[use], y[use])
+                continue
             which = np.repeat(np.arange(len(a)), count)
             place = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
             x = node["start"][a][which] + place // nb[which]
             y = node["start"][b][which] + place % nb[which]
             use = (a[which] != b[which]) | (x <= y)
-            x, y = x[use], y[use]
-            if h:
-                stack.append((h - 1, x, y))
-            else:
-                use = (x != y) & (label[x] != label[y])
-                x, y = x[use], y[use]
-                use = np.bitwise_count(self.fps[x] ^ self.fps[y]) <= max_bits
-                _connect(label, x[use], y[use])
-        other = np.flatnonzero(label != np.arange(n))
-        return self.fps[other], self.fps[label[other]]
+            stack.append((h - 1, x[use], y[use]))
+        return label
 
     def _joined(self, h: int, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarray:
         """Of node pairs: all members of both are connected already."""
